@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, piece_codec, source_mix, token_count, token_store, toxicity
+from . import embedding_dedup, exact_dedup, ngram_join, piece_codec, source_mix, token_count, token_store, toxicity
 from .shared import Store, read
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(read(spark, sf_dir, "embeddings"), Store(spark, "op1"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = source_mix.plan(read(spark, sf_dir, "documents"), Store(spark, "op3"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -28,6 +32,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digests(read(spark, sf_dir, "documents"), Store(spark, "op5"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(read(spark, sf_dir, "documents"), Store(spark, "op6"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(read(spark, sf_dir, "documents"), Store(spark, "op7"), tokenizer_path("word_bpe_49k.json"))
 
@@ -43,7 +51,16 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_source_mix, op4_toxicity, op5_exact_dedup, op7_token_store, op8_token_count, op10_piece_codec)
+    for f in (
+        op1_embedding_dedup,
+        op3_source_mix,
+        op4_toxicity,
+        op5_exact_dedup,
+        op6_ngram_join,
+        op7_token_store,
+        op8_token_count,
+        op10_piece_codec,
+    )
 }
 
 SQL = {
