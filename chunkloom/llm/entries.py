@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, ngram_join, piece_codec, source_mix, token_count, token_store, toxicity
+from . import embedding_dedup, exact_dedup, license_scan, ngram_join, piece_codec, source_mix, token_count, token_store, toxicity
 from .shared import Store, read
 
 
@@ -19,6 +19,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_copies(read(spark, sf_dir, "embeddings"), Store(spark, "op1"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(read(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = source_mix.plan(read(spark, sf_dir, "documents"), Store(spark, "op3"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -53,6 +57,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_dedup,
+        op2_license_scan,
         op3_source_mix,
         op4_toxicity,
         op5_exact_dedup,
