@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, license_scan, ngram_join, piece_codec, source_mix, token_count, token_store, toxicity
+from . import embedding_dedup, exact_dedup, license_scan, ngram_join, piece_codec, source_mix, token_count, token_store, toxicity, url_filter
 from .shared import Store, read
 
 
@@ -48,6 +48,10 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(read(spark, sf_dir, "pages"), Store(spark, "op9"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_codec.encoded(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=False)
@@ -64,11 +68,13 @@ QUERIES = {
         op6_ngram_join,
         op7_token_store,
         op8_token_count,
+        op9_url_filter,
         op10_piece_codec,
     )
 }
 
 SQL = {
+    "op9_url_filter": url_filter.sql(),
     "op5_exact_dedup": """
         WITH t AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256

@@ -17,6 +17,8 @@ fixed order; rows without doc_id come first; an empty table gives no blocks.
 from __future__ import annotations
 
 import itertools
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from .bpe_machine import Kept
 from .shared import Store
 
-RANGE_BYTES, BLOCK_IDS, KEPT = 48 << 20, 1 << 20, 350_000
-SLICE_CHARS, MOST_BROADCAST = 16 << 20, 1_000_000
+RANGE_BYTES, BLOCK_IDS, KEPT, AT_ONCE = 48 << 20, 1 << 20, 300_000, 4096
+SLICE_CHARS, MOST_BROADCAST = 8 << 20, 1_000_000
 MAGIC = b"VTOK1\0\0\0"
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 NO_ID = -(1 << 63)
@@ -83,24 +86,60 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+#: Characters up to U+017F that stand for themselves until they are lower-cased.
+PLAIN = re.compile("[!-~\u00a1-\u017f]+")
+
+
 class Encoder:
-    """Ids of whole texts. Blanks end words here, so what stands between blanks is encoded alone, and once."""
+    """Ids of whole texts. Blanks end words here, so what stands between blanks is encoded alone, and once.
+
+    For files of one known make (NFC, blanks to one, lower case, split by a regex, byte level) words of plain characters
+    are split here and only their parts go to the library's model; all other words go through the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kept = Kept(KEPT)
+        self.model, self.kept = self.library.model, Kept(KEPT)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        kinds = [(x["type"], x.get("behavior"), x.get("invert"), x.get("use_regex"), x.get("add_prefix_space")) for x in split]
+        known = steps == ["NFC", "Replace", "Lowercase"] and kinds == [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]
+        self.parts = regex.compile(split[0]["pattern"]["Regex"]).findall if known else None
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+
+    def _word(self, word: str) -> tuple[int, ...] | None:
+        """Ids of a new word; None if the library has to see it whole."""
+        if self.parts is None or "<|" in word or not PLAIN.fullmatch(word):
+            return None
+        out: tuple[int, ...] = ()
+        for part in self.parts(word.lower()):
+            if (ids := self.kept.find(part)) is None:
+                raw = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
+                ids = tuple([t.id for t in self.model.tokenize(raw)])
+                if len(part) <= 64:
+                    self.kept.put(part, ids)
+            out += ids
+        if len(word) <= 64:
+            self.kept.put(word, out)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        found = list(map(self.kept.find, words))
-        if new := [i for i, x in enumerate(found) if x is None]:
-            made = self.library.encode_batch_fast([words[i] for i in new], add_special_tokens=False)
-            for i, x in zip(new, made, strict=True):
+        get, slow, word = self.kept.new.get, self.kept.find, self._word
+        found = [x if (x := get(w)) is not None or (x := slow(w)) is not None else word(w) for w in words]
+        new = [i for i, x in enumerate(found) if x is None]
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            made = self.library.encode_batch_fast([words[i] for i in part], add_special_tokens=False)
+            for i, x in zip(part, made, strict=True):
                 found[i] = tuple(x.ids)
                 if len(words[i]) <= 64:
                     self.kept.put(words[i], found[i])
