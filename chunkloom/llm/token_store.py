@@ -21,6 +21,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .bpe_machine import Kept
 from .shared import Store
 
-RANGE_BYTES, BLOCK_IDS, KEPT, AT_ONCE = 48 << 20, 1 << 20, 300_000, 4096
-SLICE_CHARS, MOST_BROADCAST = 8 << 20, 1_000_000
+RANGE_BYTES, BLOCK_IDS, KEPT, AT_ONCE = 48 << 20, 1 << 20, 500_000, 4096
+SLICE_CHARS, MOST_BROADCAST = 12 << 20, 1_000_000
 MAGIC = b"VTOK1\0\0\0"
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 NO_ID = -(1 << 63)
@@ -81,7 +82,7 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.frombuffer(block, "<u4", docs, 40 + 8 * docs), unpack(block[at : at + c], block[at + c :], n)
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices start, start + 1 .. of every stretch, one stretch after another."""
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
@@ -102,6 +103,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.model, self.kept = self.library.model, Kept(KEPT)
+        # ids are kept as bytes: small, and nothing for the garbage collector to walk
+        wide = self.library.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.kind, self.code = ("<u4", "I") if wide else ("<u2", "H")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -112,21 +116,22 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
 
-    def _word(self, word: str) -> tuple[int, ...] | None:
+    def _word(self, word: str) -> bytes | None:
         """Ids of a new word; None if the library has to see it whole."""
         if self.parts is None or "<|" in word or not PLAIN.fullmatch(word):
             return None
-        out: tuple[int, ...] = ()
+        found, put, code, out = self.kept.find, self.kept.put, self.code, []
         for part in self.parts(word.lower()):
-            if (ids := self.kept.find(part)) is None:
+            if (ids := found(part)) is None:
                 raw = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
-                ids = tuple([t.id for t in self.model.tokenize(raw)])
+                ids = array(code, [t.id for t in self.model.tokenize(raw)]).tobytes()
                 if len(part) <= 64:
-                    self.kept.put(part, ids)
-            out += ids
-        if len(word) <= 64:
-            self.kept.put(word, out)
-        return out
+                    put(part, ids)
+            out.append(ids)
+        ids = out[0] if len(out) == 1 else b"".join(out)
+        if len(word) <= 64 and (len(out) != 1 or word != word.lower()):
+            put(word, ids)
+        return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
@@ -140,14 +145,14 @@ class Encoder:
             part = new[at : at + AT_ONCE]
             made = self.library.encode_batch_fast([words[i] for i in part], add_special_tokens=False)
             for i, x in zip(part, made, strict=True):
-                found[i] = tuple(x.ids)
+                found[i] = np.array(x.ids, self.kind).tobytes()
                 if len(words[i]) <= 64:
                     self.kept.put(words[i], found[i])
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))
+        flat = np.frombuffer(b"".join(found), self.kind)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize
         which = coded.indices.to_numpy(zero_copy_only=False)
         each = size[which]
-        ids = flat[_spread((np.cumsum(size) - size)[which], each)]
+        ids = flat[spread((np.cumsum(size) - size)[which], each)]
         upto = np.append(0, np.cumsum(each))
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return ids, np.diff(upto[offsets])
@@ -205,7 +210,7 @@ def write(docs: DataFrame, store: Store, path: str, end_id: int = 1, id_col: str
             for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
                 if not len(part):
                     continue
-                out = made[_spread(starts[part], sizes[part])]
+                out = made[spread(starts[part], sizes[part])]
                 raw = doc_ids[part].astype("<i8").tobytes() + sizes[part].astype("<u4").tobytes()
                 raw += out.astype("<u2" if out.max() < 65536 else "<u4").tobytes()
                 low, high = int(doc_ids[part[0]]), int(doc_ids[part[-1]])
@@ -246,7 +251,7 @@ def write(docs: DataFrame, store: Store, path: str, end_id: int = 1, id_col: str
             cut = np.flatnonzero(np.diff(np.cumsum(sizes[order]) // BLOCK_IDS)) + 1
             before = 0
             for no, part in enumerate(np.split(order, cut)):
-                ranked = rank_of[ids[_spread(starts[part], sizes[part])]]
+                ranked = rank_of[ids[spread(starts[part], sizes[part])]]
                 block = pack_block(docs[part], sizes[part], ranked)
                 cols = (pa.array([at], pa.int64()), pa.array([no], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ranked)], pa.int64()), pa.array([block], pa.binary()))
                 yield pa.RecordBatch.from_arrays(list(cols), ["range", "block", "before", "n_ids", "payload"])
