@@ -17,6 +17,7 @@ besides the id and the text are no inputs. Repeated rows score alike.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_machine import Kept
+from .token_store import spread
 
-MOST, LONGEST, SLICE_CHARS, KEPT = 4000, 40, 16 << 20, 400_000
+MOST, LONGEST, SLICE_CHARS, KEPT, DOCS_AT_ONCE = 2500, 40, 8 << 20, 300_000, 200
 THRESHOLD = 0.7
 ENDS = tuple(".!?|;:")
 STRIP = ".,;:!?|\"'()[]{}<>*#%-_/\\&=+~`^$@"
@@ -71,29 +73,40 @@ class Sentences:
         return upto[self.of_doc[1:]] - upto[self.of_doc[:-1]]
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 0) -> tuple[dict[str, float], float]:
+def fit(texts: pa.Array, labels: list[int]) -> tuple[dict[str, float], float]:
     """(weights by feature, bias)."""
     y = np.array(labels, bool)
     if not len(y) or y.all() or not y.any():
         return {}, -40.0
-    bags = Sentences(pa.array(texts))
-    of_word = [features(w) for w in bags.words]
+    bags = Sentences(texts)
+    # features of the distinct words as numbers, flat
+    numbers: dict[str, int] = {}
+    flat, size = array("i"), np.zeros(len(bags.words), np.int64)
+    for i, word in enumerate(bags.words):
+        own = features(word)
+        size[i] = len(own)
+        flat.extend([numbers.setdefault(f, len(numbers)) for f in own])
+    if not numbers:
+        return {}, -40.0
+    flat = np.frombuffer(flat, np.int32)
+    start = np.cumsum(size) - size
     n_docs = len(texts)
-    doc = np.repeat(np.arange(n_docs), np.diff(bags.docs))
-    all_names: dict[str, int] = {}
-    ids = [[all_names.setdefault(f, len(all_names)) for f in fs] for fs in of_word]
-    count = np.zeros((2, len(all_names)), np.int64)
-    pairs = np.unique(doc * len(ids) + bags.index)
-    for c in (0, 1):
-        own = pairs[y[pairs // len(ids)] == c]
-        each = np.unique(np.array([d * len(all_names) + f for d, w in zip((own // len(ids)).tolist(), (own % len(ids)).tolist(), strict=True) for f in ids[w]], np.int64))
-        count[c] = np.bincount(each % max(1, len(all_names)), minlength=len(all_names))
+    count = np.zeros((2, len(numbers)), np.int64)
+    for low in range(0, n_docs, DOCS_AT_ONCE):  # documents with each feature, by class
+        docs = np.arange(low, min(n_docs, low + DOCS_AT_ONCE))
+        words = bags.index[bags.docs[low] : bags.docs[docs[-1] + 1]]
+        of = np.repeat(docs, np.diff(bags.docs[low : docs[-1] + 2]))
+        pairs = np.unique(np.repeat(of, size[words]) * len(numbers) + flat[spread(start[words], size[words])])
+        for c in (0, 1):
+            count[c] += np.bincount(pairs[y[pairs // len(numbers)] == c] % len(numbers), minlength=len(numbers))
     telling = _telling(count[1], count[0], y.mean())
-    names = {f: i for i, f in enumerate(f for f, i in all_names.items() if telling[i])}
-    rows = [[names[f] for f in fs if f in names] for fs in of_word]
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
-    row = np.repeat(np.arange(len(rows)), size)
-    col = np.fromiter((c for r in rows for c in r), np.int64, int(size.sum()))
+    names = [f for f, t in zip(numbers, telling, strict=True) if t]
+    number = np.full(len(numbers) + 1, -1)
+    number[:-1][telling] = np.arange(len(names))
+    row, col = np.repeat(np.arange(len(size)), size), number[flat]
+    row, col = row[col >= 0], col[col >= 0]
+    size = np.bincount(row, minlength=len(size))
+    del numbers, flat, start, count
     weights, bias = np.zeros(len(names)), -5.0
     moved, moved_bias = np.full(len(names), 1e-8), 1e-8
     share = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
@@ -101,19 +114,19 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> tuple[dict[str, f
     told = np.flatnonzero(size[bags.index] > 0)  # the places of words with weights
     at_word, at_sentence = bags.index[told], np.searchsorted(bags.starts, told, "right") - 1
     for _ in range(STEPS):
-        own = np.bincount(row, weights[col], len(rows))
+        own = np.bincount(row, weights[col], len(size))
         z = np.clip(np.bincount(at_sentence, own[at_word], len(bags.starts)) + bias, -40, 40)
         p = 1 / (1 + np.exp(-z))
         none = np.exp(-bags.documents(np.logaddexp(0, z)))  # prod(1 - p)
         pull = np.where(y, -none / np.maximum(1 - none, 1e-9), 1.0) * share
         dz = p * pull[sentence_doc]
-        by_word = np.bincount(at_word, dz[at_sentence], len(rows))
+        by_word = np.bincount(at_word, dz[at_sentence], len(size))
         grad = np.bincount(col, by_word[row], len(names)) + DECAY * weights / len(y)
         moved += grad**2
         weights -= RATE * grad / np.sqrt(moved)
         moved_bias += dz.sum() ** 2
         bias -= RATE * dz.sum() / np.sqrt(moved_bias)
-    return {f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-6}, float(bias)
+    return {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-6}, float(bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict, float]:
@@ -126,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "d
     picked = per[0].unionByName(per[1])
     rows = docs.select(F.col(id_col).alias("__i"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     # both sides of the sample are bounded by its size
-    found = rows.join(F.broadcast(picked), F.col("__i") == F.col("__id")).dropDuplicates(["__id"]).orderBy("__h", "__id").select("__t", "__y").toPandas()
-    return fit(found["__t"].tolist(), found["__y"].tolist())
+    found = rows.join(F.broadcast(picked), F.col("__i") == F.col("__id")).dropDuplicates(["__id"]).orderBy("__h", "__id").select("__t", "__y").toArrow()
+    return fit(found["__t"].combine_chunks(), found["__y"].to_pylist())
 
 
 def held_out(id_col):
