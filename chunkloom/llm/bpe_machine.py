@@ -125,66 +125,83 @@ class CountMachine:
 class StreamCoder:
     """Viterbi over symbols with a bounded window; commits when all surviving paths run through one boundary.
 
-    Each place has one best path, the only admissible one, kept as its last piece. Only places from which a piece
-    can still reach further survive, those of the last ``longest - 1`` symbols and the end. Ids are committed up to
-    the last boundary that the paths of all survivors share, and places before it are dropped.
+    Each place has one best path, the only admissible one, kept as its last piece. Survivors are the places from
+    which a piece can still reach further, and the end: the state, built as it is used, has their last pieces and the
+    symbols since the first of them. Ids are committed up to the last boundary that the paths of all survivors share,
+    and places before it are dropped; so no more are held than ``HELD`` times the longest piece.
     """
 
-    def __init__(self, pairs: Pairs, unknown):
-        self.pairs, self.unknown = pairs, unknown
+    HELD = 4
+
+    def __init__(self, pairs: Pairs, unknown, most_states: int = 400_000):
+        self.pairs, self.unknown, self.most = pairs, unknown, most_states
+        self.prefixes = {p[:i] for p in pairs.ids for i in range(len(p))}
         self.widest = 0  # places held at most so far
-        lengths: dict[str, set[int]] = {}
-        for p in pairs.ids:
-            if len(p) > 1:
-                lengths.setdefault(p[-2:], {1}).add(len(p))
-        #: lengths of the pieces that end in two given symbols, longest first
-        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.states, self.numbers, self.steps = [("", (START,))], {("", (START,)): 0}, [{}]
+
+    def _step(self, state: int, symbol: str) -> tuple[int, int, int]:
+        """(next state, last piece, its length); a negative piece stands for an unknown symbol."""
+        text, last = self.states[state]
+        text += symbol
+        for n in range(len(text), 0, -1):
+            piece = self.pairs.ids.get(text[-n:])
+            if piece is not None and self.pairs.follows(last[-n], piece):
+                last = (*last, piece)
+                break
+        else:  # nothing joins an unknown symbol, so it is like a start
+            text, last, piece, n = "", (START,), -2 - ord(symbol), 1
+        keep = len(text)
+        while text[len(text) - keep :] not in self.prefixes:
+            keep -= 1
+        made = (text[len(text) - keep :], last[-keep - 1 :])
+        if (number := self.numbers.get(made)) is None:
+            number = self.numbers[made] = len(self.states)
+            self.states.append(made)
+            self.steps.append({})
+        out = self.steps[state][symbol] = (number, piece, n)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        pairs, reach, out = self.pairs, self.pairs.longest, []
-        get, known, ends, follows = pairs.ids.get, pairs.known.get, self.ends.get, pairs.follows
-        # places from ``base`` on: last piece (an id, or a negative code of an unknown symbol) and its length
-        base, last, size = 0, [START], [0]
-        for i in range(1, len(text) + 1):
-            for n in ends(text[i - 2 : i], (1,)):
-                if n > i - base or (piece := get(text[i - n : i])) is None:
-                    continue
-                before = last[-n]
-                if before < START:
-                    before = START
-                ok = known((before, piece))
-                if ok or ok is None and follows(before, piece):
-                    break
-            else:
-                piece, n = -2 - ord(text[i - 1]), 1
-            last.append(piece)
-            size.append(n)
-            if piece < START:  # nothing joins an unknown symbol: a boundary on every path
-                base = self._commit(base, i, last, size, out)
-            elif len(last) >= 4 * reach:
-                base = self._commit(base, self._shared(base, i, size), last, size, out)
-        self._commit(base, len(text), last, size, out)
+        if len(self.states) > self.most:
+            self._reset()
+        steps, slow, most = self.steps, self._step, self.HELD * self.pairs.longest
+        out: list[int] = []
+        path: list[tuple[int, int, int]] = []
+        state = 0
+        for symbol in text:
+            step = steps[state].get(symbol) or slow(state, symbol)
+            path.append(step)
+            state = step[0]
+            if len(path) >= most:
+                self.widest = max(self.widest, len(path))
+                self._commit(path, self._shared(path, len(self.states[state][0])), out)
+        self.widest = max(self.widest, len(path))
+        self._commit(path, len(path), out)
         return out
 
-    def _shared(self, base: int, end: int, size: list[int]) -> int:
-        """The last boundary on the paths of all survivors, at most a window before ``end``."""
-        heads = set(range(max(base, end - self.pairs.longest + 1), end + 1))
+    @staticmethod
+    def _shared(path: list, window: int) -> int:
+        """The last boundary on the paths of all survivors, those of the last ``window`` places and the end."""
+        heads = set(range(max(0, len(path) - window), len(path) + 1))
         while len(heads) > 1:
             top = max(heads)
             heads.discard(top)
-            heads.add(top - size[top - base])
+            heads.add(top - path[top - 1][2])
         return heads.pop()
 
-    def _commit(self, base: int, upto: int, last: list[int], size: list[int], out: list[int]) -> int:
-        self.widest = max(self.widest, len(last))
+    def _commit(self, path: list, upto: int, out: list[int]) -> None:
         ids, at = [], upto
-        while at > base:
-            ids.append(last[at - base])
-            at -= size[at - base]
-        for piece in reversed(ids):
-            if piece >= 0:
-                out.append(piece)
-            else:
-                out.extend(self.unknown(chr(-2 - piece)))
-        del last[: upto - base], size[: upto - base]
-        return upto
+        while at > 0:
+            _, piece, n = path[at - 1]
+            ids.append(piece)
+            at -= n
+        ids.reverse()
+        if min(ids, default=0) < 0:
+            for piece in ids:
+                out.extend((piece,) if piece >= 0 else self.unknown(chr(-2 - piece)))
+        else:
+            out += ids
+        del path[:upto]
