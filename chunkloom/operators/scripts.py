@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions import bytecode
+from chunkloom.functions import bytes as B
 from chunkloom.operators import resolve
 
 OUTPUT = "file string, rel_path string, content binary, error string"
@@ -37,6 +38,31 @@ def literals(of: DataFrame) -> DataFrame:
     return files.decoded(of, ("Lscr",), "kind int, int_value long, float_value double, string_value string, bytes_value binary", rows)
 
 
+def kinds(project) -> DataFrame:
+    """(file, script_res, kind): the kind of the member a script is linked to, else of the first member that names it
+    by script id, else of the script itself."""
+    from chunkloom.sources import files
+
+    def rows(tag: str, data: bytes) -> list[tuple]:
+        return [(bytecode.script(data).kind,)]
+
+    own = files.decoded(project.of("Lscr"), ("Lscr",), "kind string", rows).where("error is null")
+    own = own.groupBy("file", F.col("res_id").alias("script_res")).agg(F.min_by("kind", "ordinal").alias("own"))
+    member = project.members.where("error is null").withColumn("as", _kind_of(F.col("spec")))
+    by_link = project.links.where("link_tag = 'Lscr' and error is null").select("file", F.col("child").alias("script_res"), F.col("parent").alias("res_id"), F.struct("ordinal", "pos").alias("at"))
+    by_link = by_link.join(member.select("file", "res_id", "as"), ["file", "res_id"]).groupBy("file", "script_res").agg(F.min_by("as", "at").alias("linked"))
+    by_id = resolve.scripts(project.members.where("error is null"), files.script_contexts(project.of("LctX", "Lctx")).where("error is null"))
+    by_id = by_id.join(member.select("file", "res_id", "ordinal", "as"), ["file", "res_id"]).groupBy("file", "script_res").agg(F.min_by("as", "ordinal").alias("named"))
+    out = own.join(by_link, ["file", "script_res"], "left").join(by_id, ["file", "script_res"], "left")
+    return out.select("file", "script_res", F.coalesce("linked", "named", "own").alias("kind"))
+
+
+def _kind_of(spec):
+    """The kind that a script member's own record tells; null where it has none."""
+    code = B.unsigned(spec, 0, 2)
+    return F.element_at(F.create_map(*[F.lit(x) for kv in bytecode.TYPES.items() for x in kv]), code.cast("int"))
+
+
 def linked(project) -> DataFrame:
     """(file, res_id, base, script data, names, version) of members with a script; data is null if it isn't there."""
     from chunkloom.sources import files

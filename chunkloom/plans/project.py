@@ -148,8 +148,53 @@ class Project:
 
         return else_rows(listed, own, ["file"])
 
+    def linked_casts(self) -> DataFrame:
+        """(file, pos, path): paths of libraries in other files, each once, where it is named first."""
+        listed = files.libraries(self.of("MCsL")).where("error is null and path <> ''")
+        return listed.groupBy("file", "path").agg(F.min(F.struct("ordinal", "pos")).alias("at")).select("file", F.row_number().over(Window.partitionBy("file").orderBy("at")).alias("pos"), "path")
+
+    def cast_lists(self) -> DataFrame:
+        """casts.txt and linked_casts.txt of each file that has them."""
+        line = F.concat(F.concat_ws("\t", *[F.col(c).cast("string") for c in ("id", "name", "path", "min_member", "max_member", "member_count")]), F.lit("\n"))
+        own = self._lines(self.casts().select("file", F.col("id").alias("pos"), line.alias("line")), "casts.txt")
+        return own.unionByName(self._lines(self.linked_casts().select("file", "pos", F.concat("path", F.lit("\n")).alias("line")), "linked_casts.txt"))
+
+    @staticmethod
+    def _lines(rows: DataFrame, name: str) -> DataFrame:
+        """A text of a file's lines in order; there are at most as many as a file has libraries."""
+        body = F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], "")
+        path = F.concat(F.regexp_replace("file", r"\.[^./]*$", ""), F.lit(f"/{name}"))
+        return rows.groupBy("file").agg(F.encode(body, "UTF-8").alias("content")).select("file", path.alias("rel_path"), "content", F.lit(None).cast("string").alias("error"))
+
+    def fonts(self) -> DataFrame:
+        """Font members: the linked payload, else the member's own bytes."""
+        blobs = self.of("XMED").groupBy("file", F.col("res_id").alias("child")).agg(F.min_by("data", "ordinal").alias("data"))
+        ours = self.members.where("kind = 'font' and error is null").select("file", "res_id", "raw")
+        linked = ours.join(resolve.of_part(self.parts, "font", "child"), ["file", "res_id"], "left").join(blobs, ["file", "child"], "left")
+        return _out(self._named(linked.select("file", "res_id", F.coalesce("data", "raw").alias("data"))), ".bin", F.col("data"))
+
+    def font_names(self) -> DataFrame:
+        """fonts.txt of each file: its font map."""
+        rows = files.font_map(self.of("Fmap")).where("error is null")
+        line = F.concat(F.concat_ws("\t", F.col("font_id").cast("string"), F.col("platform").cast("string"), "font_name"), F.lit("\n"))
+        return self._lines(rows.select("file", F.struct("ordinal", "pos").alias("pos"), line.alias("line")), "fonts.txt")
+
+    def script_kinds(self) -> DataFrame:
+        """(file, script_res, kind): of a script, the member it is linked to, else the first that names it, else its own."""
+        from chunkloom.operators import scripts
+
+        return scripts.kinds(self)
+
+    def inspect(self, limit: int = 50) -> dict[str, DataFrame]:
+        """What a look at the files shows, by part; lists are cut to ``limit`` rows as this is for reading."""
+        tags = self.chunks.where("tag is not null").groupBy("file", "tag").agg(F.count("*").alias("n"), F.sum(F.length("data")).alias("bytes"))
+        tree = self.chunks.where("tag is not null").select("file", F.concat(F.repeat(F.lit("  "), F.size(F.split("path", r"\.")) - 1), "tag").alias("node"), "res_id", "declared").orderBy("file", "ordinal")
+        parts = {"tags": tags.orderBy("file", "tag"), "tree": tree, "links": self.links, "members": self.named.select("file", "number", "kind", "name"), "texts": files.texts(self.of("STXT")).select("file", "res_id", F.substring("text", 1, 80).alias("text"))}
+        parts |= {"sounds": files.sounds(self.of(*resolve.SOUND_TAGS)), "bitmaps": files.bitmaps(self.of("CASt")), "map": files.memory_map(self.of("mmap")), "names": files.script_names(self.of("Lnam")), "config": self.configs}
+        return {name: df.limit(limit) for name, df in parts.items()}
+
     def outputs(self) -> DataFrame:
-        parts = [self.images(), self.texts(), self.sounds(), self.colour_tables(), self.shapes(), self.scripts(), self.movies()]
+        parts = [self.images(), self.texts(), self.sounds(), self.colour_tables(), self.shapes(), self.scripts(), self.movies(), self.cast_lists(), self.fonts(), self.font_names()]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

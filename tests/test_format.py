@@ -296,6 +296,10 @@ def test_outputs(project, tmp_path):
     assert out["a/scripts/0007_script_main.ls"].endswith(b"on go\n  put 7\nend\n") and b"pushInt8 7" in out["a/scripts/0007_script_main.lasm"]
     movie = dict(x.split("\t") for x in out["a/movie.txt"].decode().splitlines())
     assert movie["stage_width"] == "640" and movie["stage_color_rgb"] == "0x112233" and movie["default_palette"] == "-1:-1" and movie["tempo"] == "15"
+    assert out["a/casts.txt"] == b"1\tInternal\t\t1\t8\t7\n" and "a/linked_casts.txt" not in out
+    assert [(r.script_res, r.kind) for r in project.script_kinds().collect()] == [(26, "Movie Script")]
+    seen = project.inspect()
+    assert seen["tags"].where("tag = 'CASt'").first().n == 7 and {r.node for r in seen["tree"].collect()} >= {"CASt", "KEY*"}
     sinks.write_blobs(project.texts(), str(tmp_path / "out"))
     assert (tmp_path / "out/a/texts/0004_text_words.txt").read_bytes() == b"one\ntwo\nthree"
 
