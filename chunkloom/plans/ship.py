@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -17,14 +19,15 @@ def ship(spark: SparkSession, root: str) -> None:
     context = spark.sparkContext
     if os.path.abspath(root) in paths or getattr(context, "_chunkloom_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "chunkloom.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for top, _, names in os.walk(os.path.join(root, "chunkloom")):
-                for n in names:
-                    if n.endswith(".py"):
-                        z.write(os.path.join(top, n), os.path.relpath(os.path.join(top, n), root))
-        context.addPyFile(path)
+    folder = tempfile.mkdtemp()  # the driver's own; the context serves the file from here to all executors as long as it lives
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "chunkloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(os.path.join(root, "chunkloom")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(top, n), os.path.relpath(os.path.join(top, n), root))
+    context.addPyFile(path)
     context._chunkloom_shipped = True
 
 
