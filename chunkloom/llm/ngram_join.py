@@ -3,22 +3,28 @@
 A document's set is its distinct shingles of five words. A sketch has one word per class of shingles: the XOR of the
 hashes of the document's shingles in that class. A shingle in one set only changes one word, so the number of words
 in which two sketches differ, their Hamming distance, is at most the sets' symmetric difference. At a similarity of
-3/4 that is at most (a + b) / 7 for sizes a and b. So of the first d + g non-empty words of a sketch, d being that
-bound for the largest size that may link, at least g are words of any sketch that it may link to: the pigeonhole.
-Sketches are cut by bands of the larger size (64, 128, 256 ..), with about a word for 2.2 shingles; a document
-stands in the band of its size and in the next one if larger documents there may link to it. Up to 64 shingles every
-shingle is a class of its own.
-
-Words become keys. Documents of equal sets are one; among documents with a key, the first stands for the others
-within a batch of the input before anything is shuffled, and again among batches: every other one is a candidate to
-link with it. Candidates are checked exactly, on sets recomputed from the texts. If all of a key's candidates link,
-its documents are in one component. In other keys, pairs of documents that are not yet in one component are checked
-as well, so no link that joins two components is lost. A key of more than ``COMMON`` documents may be left out for a
-document that has fewer than g such keys: whatever links to it shares a rarer key.
-
-Defined cases: null and blank texts have an empty set and no links; texts under five words have their whole sequence
-as one shingle; rows without doc_id take part in nothing and have no component; rows repeating a doc_id count as one
-node with the links of all; an empty table gives an empty result. Other columns are ignored, whatever their names.
+3/4 that is at most (a + b) / 7 for sizes a and b. So of the first non-empty words of one sketch, all but that many
+are words of the other: with ``d`` the bound for the largest size that may link, the first d + g words of each are
+its keys, and sketches that may link have at least g keys in common (pigeonhole), or all but the bound where a sketch
+has fewer words. Sketches are cut by bands of the larger size (64, 128, 256 ..), with a word for ``PER_WORD``
+shingles; a document stands in the band of its size, and as a guest in the next one if larger documents there may
+link to it. Up to 64 shingles every shingle is a class of its own.
+
+Keys meet by hash. Of a key of up to ``COMMON`` documents all pairs are counted, by pair, in the task that has the
+key; the sums over keys show which pairs have enough in common to link at all. Few do that don't link: a passage
+shared by otherwise different documents fills few words alone. Those pairs are checked on their texts.
+
+Keys of more documents are kept as members, after batches of the input have each put one document for many. What
+links has at least ``few`` of them in common, or as many rare ones fewer as counts above allow for. So of a document's
+common keys, in one order from the rarest on, all but the last ``few`` - 1 suffice to meet what it links to (a prefix
+filter). By these, the first document of a key is checked with each other; where a key's documents aren't in one
+component then, those outside the first one's meet all in other components, and are checked if all their common and
+rare keys together are enough. So no link that joins two components is lost.
+
+Documents of equal sets are one. Defined cases: null and blank texts have an empty set and no links; texts under five
+words have their whole sequence as one shingle; rows without doc_id take part in nothing and have no component; rows
+repeating a doc_id count as one node with the links of all; an empty table gives an empty result. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,15 +37,16 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Store, components
 
-WORDS, SPARE, SMALL, PER_WORD = 5, 8, 64, 2.2
-COMMON = 64
-SLICE_CHARS, BUCKET_BYTES = 12 << 20, 32 << 20
+WORDS, SMALL, PER_WORD = 5, 64, 1.6
+COMMON, LOCAL = 64, 16  # LOCAL: documents with a key in a batch, beyond which one stands for them
+SLICE_CHARS, BUCKET_BYTES = 5 << 20, 16 << 20
 MOST_BROADCAST = 1_000_000  # ids
+CELL = 1024  # documents of a key compared in one go
 CHUNK = 256  # candidates of one document checked in one go
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64's constants
@@ -82,9 +89,23 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(doc[new], minlength=len(n)).astype(np.int64)
 
 
-def keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, document of each) of sets as ``shingles`` gives them."""
-    out = []
+def spare(n: np.ndarray) -> np.ndarray:
+    """Keys beyond the bound: so many, at least, do sketches have in common that may link."""
+    return 8 + n // 8
+
+
+def few(n: np.ndarray) -> np.ndarray:
+    """Keys that a sketch has in common with whatever it may link to, at least; ``spare`` of the smallest such."""
+    return np.where(n < 12, 1, 5 + 3 * n // 32)
+
+
+#: The same in SQL.
+FEW = "if({n} < 12, 1, 5 + 3 * {n} div 32)"
+
+
+def keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, unit of each; of the units: document, number of keys, whether it is a guest in its band)."""
+    out, units = [], 0
     most = 4 * n // 3
     home = np.maximum(SMALL, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     start = np.cumsum(n) - n
@@ -105,11 +126,13 @@ def keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word = np.bitwise_xor.reduceat(value[at], first)
         owner = d[first]
         rank = np.arange(len(first)) - np.searchsorted(owner, np.arange(len(docs)))[owner]
-        use = rank < bound[owner] + SPARE
+        use = rank < (bound + spare(n[docs]))[owner]
         salt = mix(cls[first][use] * np.uint64(2) + top[owner[use]].astype(np.uint64) * _B)
-        out.append((mix(word[use] + salt), docs[owner[use]]))
+        out.append((mix(word[use] + salt), units + owner[use], docs, np.bincount(owner[use], minlength=len(docs)), np.full(len(docs), guest)))
+        units += len(docs)
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none, none.astype(bool)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -122,7 +145,7 @@ def _slices(x: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 MAPPED = {"kind": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "sum": pa.int64(), "xor": pa.int64(), "bucket": pa.int32(), "data": pa.binary()}
-DOC, KEYS, LOCAL = range(3)
+DOC, KEYS, LOCALS = range(3)
 
 
 def _batch(kind: int, rows: int, **cols) -> pa.RecordBatch:
@@ -148,81 +171,107 @@ def _map(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
         lead[1:] = np.any([v[order][1:] != v[order][:-1] for v in (n, total, xor)], axis=0)
         lead = np.sort(order[lead & (n[order] > 0)])
         at = np.repeat(start[lead] - (np.cumsum(n[lead]) - n[lead]), n[lead]) + np.arange(int(n[lead].sum()))
-        key, doc = keys(h[at], n[lead])
-        doc = lead[doc]
-        order = np.lexsort((ids[doc], key))
-        key, doc = key[order], doc[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(new)
+        key, unit, doc, many, guest = keys(h[at], n[lead])
+        doc, code = lead[doc], many * 2 + guest
+        order = np.lexsort((ids[doc[unit]], key))
+        key, unit = key[order], unit[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
-        rest = np.flatnonzero(~new)
-        if len(rest):
-            of = np.repeat(first, size)[rest]
-            data = key[rest].tobytes() + ids[doc[of]].tobytes() + ids[doc[rest]].tobytes() + n[doc[of]].tobytes() + n[doc[rest]].tobytes()
-            yield _batch(LOCAL, 1, n=[len(rest)], data=[shrink(data)])
-        key, doc = key[first], doc[first]
-        order = np.lexsort((doc, key >> np.uint64(64 - bits))) if bits else np.argsort(doc, kind="stable")
-        key, doc, size = key[order], doc[order], size[order]
+        each = np.repeat(size, size)
+        hidden = each > LOCAL  # one stands for them all
+        hidden[first] = False
+        if (rest := np.flatnonzero(hidden)).size:
+            low = np.uint64(24 - bits)  # as far as keys are told apart among batches
+            data = (key[rest] >> low << low).tobytes() + ids[doc[unit[rest]]].tobytes() + n[doc[unit[rest]]].tobytes() + code[unit[rest]].tobytes()
+            yield _batch(LOCALS, 1, n=[len(rest)], data=[shrink(data)])
+        key, unit, size = key[~hidden], unit[~hidden], np.where(each > LOCAL, each, 1)[~hidden]
         bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+        order = np.lexsort((unit, bucket))
+        key, unit, size, bucket = key[order], unit[order], size[order], bucket[order]
         for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(bucket)) + 1):
             if len(part):
                 k = key[part] << np.uint64(bits)
-                run = np.flatnonzero(np.append(True, np.diff(doc[part]) != 0))
+                run = np.flatnonzero(np.append(True, np.diff(unit[part]) != 0))
                 runs = np.diff(np.append(run, len(part)))
-                who = doc[part][run]
+                who = unit[part][run]
                 data = (k >> np.uint64(32)).astype("<u4").tobytes() + (k >> np.uint64(24)).astype(np.uint8).tobytes()
                 data += np.minimum(size[part], 255).astype(np.uint8).tobytes()
-                data += ids[who].tobytes() + n[who].tobytes() + runs.astype("<u4").tobytes()
+                data += ids[doc[who]].tobytes() + n[doc[who]].tobytes() + code[who].tobytes() + runs.astype("<u4").tobytes()
                 yield _batch(KEYS, 1, n=[len(part)], sum=[len(run)], bucket=[int(bucket[part[0]])], data=[shrink(data)])
 
 
-def _unpack_keys(bucket: int, m: int, runs: int, data: bytes, bits: int) -> tuple[np.ndarray, ...]:
+def _unpack(bucket: int, m: int, runs: int, data: bytes, bits: int) -> tuple[np.ndarray, ...]:
+    """Of a blob: keys, numbers of documents each stands for, lengths of runs; ids, sizes and codes of the runs."""
     raw = zstandard.ZstdDecompressor().decompress(data)
     k = np.frombuffer(raw, "<u4", m).astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, np.uint8, m, 4 * m).astype(np.uint64) << np.uint64(24)
     k = k >> np.uint64(bits) | (np.uint64(bucket) << np.uint64(64 - bits) if bits else np.uint64(0))
     size, at = np.frombuffer(raw, np.uint8, m, 5 * m), 6 * m
-    ids, n = np.frombuffer(raw, "<i8", runs, at), np.frombuffer(raw, "<i8", runs, at + 8 * runs)
-    each = np.frombuffer(raw, "<u4", runs, at + 16 * runs)
-    return k, size, np.repeat(ids, each), np.repeat(n, each)
+    ids, n, code = (np.frombuffer(raw, "<i8", runs, at + 8 * runs * i) for i in range(3))
+    return k, size, np.frombuffer(raw, "<u4", runs, at + 24 * runs), ids, n, code
+
+
+#: Pairs with the keys they share, and need if they link, in all and by rare keys; or, without a second document,
+#: members of common keys with their numbers of shingles and keys.
+FOUND = {"x": pa.int64(), "y": pa.int64(), "all": pa.int64(), "rare": pa.int64(), "shared": pa.int64(), "key": pa.int64(), "n": pa.int64(), "many": pa.int64()}
 
 
-GROUPS = "key long, leader long, member long, n_leader long, n_member long, rest boolean"
+def _found(**cols) -> pa.RecordBatch:
+    rows = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(rows, t) for c, t in FOUND.items()], list(FOUND))
 
 
-def _group(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Of each key that several batches have: its first document and each other; whether it has third ones."""
+def _meet(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """All keys of a bucket: pairs of documents with the number of keys they share, and members of common keys."""
     rows = (tuple(c[i].as_py() for c in x.columns) for x in batches for i in range(x.num_rows))
-    for bucket, blobs in itertools.groupby(rows, key=lambda r: r[0]):
-        key, size, ids, n = (np.concatenate(c) for c in zip(*(_unpack_keys(*b, bits) for b in blobs), strict=True))
+    for _, blobs in itertools.groupby(rows, key=lambda r: r[0]):
+        key, size, runs, ids, n, code = (np.concatenate(c) for c in zip(*(_unpack(*b, bits) for b in blobs), strict=True))
+        unit = np.repeat(np.arange(len(ids)), runs)
         order = np.argsort(key, kind="stable")
-        same = np.zeros(len(order), bool)
         k = key[order]
+        same = np.zeros(len(k), bool)
         same[1:] = k[1:] == k[:-1]
         same[:-1] |= same[1:].copy()
-        order = order[same]  # keys of one batch alone are done with
-        order = order[np.lexsort((ids[order], key[order]))]
-        k, size, ids, n = key[order], size[order].astype(np.int64), ids[order], n[order]
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(k)))
-        many = np.add.reduceat(size, first) > 2 if len(first) else np.zeros(0, bool)
-        of, rest = np.repeat(first, count), np.repeat(many, count)
-        other = np.flatnonzero(of != np.arange(len(k)))
-        other = other[ids[other] != ids[of[other]]]
-        for part in np.array_split(other, max(1, len(other) // 100_000)):
-            o = of[part]
-            cols = (k[part].view(np.int64), ids[o], ids[part], n[o], n[part], rest[part])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "leader", "member", "n_leader", "n_member", "rest"])
-
-
-def _local(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+        order = order[same | (size[order] > 1)]
+        k, unit, size = key[order], unit[order], size[order].astype(np.int64)
+        if not len(k):
+            continue
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        count, total = np.diff(np.append(first, len(k))), np.add.reduceat(size, first)
+        common = (total > COMMON) | (total > count)
+        if (far := np.flatnonzero(np.repeat(common, count))).size:
+            for part in np.array_split(far, len(far) // 200_000 + 1):
+                yield _found(x=ids[unit[part]], key=k[part].view(np.int64), n=n[unit[part]], many=code[unit[part]] >> 1)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for c in np.unique(count[~common]).tolist():
+            if c < 2:
+                continue
+            at = first[~common & (count == c)]
+            a, b = np.triu_indices(c, 1)
+            step = max(1, 500_000 // len(a))
+            for low in range(0, len(at), step):
+                u = unit[at[low : low + step, None] + np.arange(c)]
+                x, y = u[:, a].ravel(), u[:, b].ravel()
+                ok = (ids[x] != ids[y]) & (code[x] & code[y] & 1 == 0) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
+                x, y = x[ok], y[ok]
+                held.append(np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y), return_counts=True))
+        if not held:
+            continue
+        pairs, back = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+        shared = np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
+        x, y = pairs // len(ids), pairs % len(ids)
+        need = np.minimum(code[x] >> 1, code[y] >> 1) - (n[x] + n[y]) // 7
+        rare = need - few(np.maximum(n[x], n[y])) + 1
+        for part in np.array_split(np.arange(len(x)), len(x) // 200_000 + 1):
+            i, j = ids[x[part]], ids[y[part]]
+            yield _found(x=np.minimum(i, j), y=np.maximum(i, j), all=need[part], rare=rare[part], shared=shared[part])
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
         for m, data in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
             raw = zstandard.ZstdDecompressor().decompress(data)
-            low = np.uint64(24 - bits)  # as far as keys among batches are told apart
-            k = np.frombuffer(raw, "<u8", m) >> low << low
-            cols = [k.view(np.int64), *(np.frombuffer(raw, "<i8", m, 8 * m * i) for i in range(1, 5)), np.ones(m, bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "leader", "member", "n_leader", "n_member", "rest"])
+            k, ids, n, code = (np.frombuffer(raw, "<i8", m, 8 * m * i) for i in range(4))
+            yield _found(x=ids, key=k, n=n, many=code >> 1)
 
 
 def _fits(a: str, b: str):
@@ -230,55 +279,89 @@ def _fits(a: str, b: str):
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, store: Store) -> DataFrame:
-    """(a, b, linked) for ``pairs(a, b)``, on sets recomputed from the texts of the documents concerned.
+    """(a, b, linked) for ``pairs(a, b)``, on the texts of the documents concerned.
 
-    A document's candidates are split into chunks of about ``CHUNK``, each of which gets its set once.
+    A document's candidates are split into chunks of about ``CHUNK``, each of which gets its text once. Where there
+    are many pairs of few documents, documents are split into blocks instead, and a pair of blocks is checked in one go.
     """
-    wanted = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    few = wanted.count() <= MOST_BROADCAST
-    wanted = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id"), "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in itertools.chain.from_iterable(map(_slices, batches)):
-            h, n = shingles(x.column(1))
-            ends = np.cumsum(n).tolist()
-            cut = [h[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(cut, pa.binary())], ["id", "set"])
-
-    made = store.keep(wanted.mapInArrow(sets, "id long, set binary"), "sets", "none")
+    found = pairs.agg(F.count("*"), F.approx_count_distinct("b")).first()
+    if found[0] > 4 * max(1, found[1]):
+        return _checked_in_blocks(pairs, docs, store)
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(chunks, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks"))
-    first = dealt.select("a", "chunk").distinct().join(made, F.col("a") == F.col("id")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "set")
-    other = dealt.join(made, F.col("b") == F.col("id")).select("a", "chunk", "b", "set")
-    rows = first.unionByName(other).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    dealt = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), "b")
+    first = dealt.groupBy("a", "chunk").agg(F.lit(None).cast("long").alias("b")).select(F.col("a").alias("id"), "a", "chunk", "b")
+    wanted = store.keep(first.unionByName(dealt.select(F.col("b").alias("id"), "a", "chunk", "b")), "wanted")
+    few = wanted.count() <= MOST_BROADCAST
+    rows = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id")).select("a", "text", "chunk", "b")
+    rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, fresh = None, [], False
-        for x in batches:
+        at, own = None, []
+        for x in itertools.chain.from_iterable(map(_slices, batches)):
             out = []
-            for i in range(x.num_rows):
-                a, chunk, b = (x.column(c)[i].as_py() for c in range(3))
-                got = np.frombuffer(x.column(3)[i].as_py(), "<u8")
+            h, n = shingles(x.column(1))
+            ends = np.cumsum(n)
+            for a, chunk, b, start, end in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), x.column(3).to_pylist(), (ends - n).tolist(), ends.tolist(), strict=True):
+                got = h[start:end]
                 if b is None:
                     if (a, chunk) != at:
                         at, own = (a, chunk), []
-                    own.append(got)  # several only if rows repeat the id
+                    own.append(got.copy())  # several only if rows repeat the id
                     continue
-                linked = False
-                for s in own:
-                    where = np.searchsorted(s, got)
-                    both = int(np.count_nonzero(s[np.minimum(where, len(s) - 1)] == got)) if len(s) else 0
-                    linked |= len(s) > 0 and len(got) > 0 and 100 * both >= 75 * (len(s) + len(got) - both)
-                out.append((a, b, linked))
+                out.append((a, b, any(_alike(s, got) for s in own)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "linked"])
+                cols = (pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True))
+                yield pa.RecordBatch.from_arrays(list(cols), ["a", "b", "linked"])
 
     done = rows.mapInArrow(compare, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
     out = store.keep(done, "checked")
-    store.drop(made)
+    store.drop(wanted)
     return out
 
 
+def _checked_in_blocks(pairs: DataFrame, docs: DataFrame, store: Store) -> DataFrame:
+    ids = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    n_ids = ids.count()
+    blocks = n_ids // CHUNK + 1
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    placed = pairs.select("a", "b", F.least(of("a"), of("b")).alias("i"), F.greatest(of("a"), of("b")).alias("j"))
+    wanted = placed.select("i", "j", F.explode(F.array("a", "b")).alias("id")).distinct()
+    few_ids = n_ids <= MOST_BROADCAST
+    texts = store.keep(docs.join(F.broadcast(ids) if few_ids else ids, F.col("doc_id") == F.col("id")).select("id", "text"), "texts")
+    rows = wanted.join(texts, "id").select("i", "text", "j", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"))
+    rows = rows.unionByName(placed.select("i", F.lit("").alias("text"), "j", "a", "b"))
+    rows = rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, {}
+        for x in itertools.chain.from_iterable(map(_slices, batches)):
+            out = []
+            h, n = shingles(x.column(1))
+            ends = np.cumsum(n)
+            for i, j, a, b, start, end in zip(*(x.column(k).to_pylist() for k in (0, 2, 3, 4)), (ends - n).tolist(), ends.tolist(), strict=True):
+                if (i, j) != at:
+                    at, own = (i, j), {}
+                if b is None:
+                    own.setdefault(a, []).append(h[start:end].copy())  # several only if rows repeat the id
+                else:
+                    out.append((a, b, any(_alike(s, t) for s in own.get(a, ()) for t in own.get(b, ()))))
+            if out:
+                cols = (pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True))
+                yield pa.RecordBatch.from_arrays(list(cols), ["a", "b", "linked"])
+
+    out = store.keep(rows.mapInArrow(compare, "a long, b long, linked boolean"), "checked")
+    store.drop(ids, texts)
+    return out
+
+
+def _alike(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sets, ascending, have a similarity of 3/4."""
+    if not len(s) or not len(t):
+        return False
+    both = int(np.count_nonzero(s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t))
+    return 100 * both >= 75 * (len(s) + len(t) - both)
+
+
 def linked(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, n; (id, component) of those with links)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -288,25 +371,34 @@ def linked(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str
     schema = "kind int, doc_id long, n long, sum long, xor long, bucket int, data binary"
     mapped = store.keep(named.mapInArrow(lambda x: _map(x, bits), schema), "mapped", "none")
 
-    per = mapped.where(f"kind = {DOC}").select("doc_id", "n", "sum", "xor")
+    per = store.keep(mapped.where(f"kind = {DOC}").select("doc_id", "n", "sum", "xor"), "sizes")
     first = per.where("n > 0").groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     again = first.where("copies > 1")
     same = store.keep(per.join(again, ["n", "sum", "xor"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "same")
 
-    dealt = mapped.where(f"kind = {KEYS}").repartitionById(1 << bits, "bucket")
-    groups = dealt.select("bucket", "n", "sum", "data").mapInArrow(lambda x: _group(x, bits), GROUPS)
-    local = mapped.where(f"kind = {LOCAL}").select("n", "data").mapInArrow(lambda x: _local(x, bits), GROUPS)
-    groups = store.keep(groups.unionByName(local), "groups", "zstd")
+    found_schema = ", ".join(f"`{c}` long" for c in FOUND)
+    dealt = mapped.where(f"kind = {KEYS}").repartitionById(1 << bits, "bucket").select("bucket", "n", "sum", "data")
+    local = mapped.where(f"kind = {LOCALS}").select("n", "data").mapInArrow(_local, found_schema)
+    found = store.keep(dealt.mapInArrow(lambda x: _meet(x, bits), found_schema).unionByName(local), "found", "zstd")
+    store.drop(mapped)
 
     # candidates in terms of one document for each set
     to_rep = lambda df, c: df.join(same.select(F.col("doc_id").alias("__d"), F.col("rep").alias("__r")), F.col(c) == F.col("__d"), "left").withColumn(c, F.coalesce("__r", c)).drop("__d", "__r")
-    star = groups.where(_fits("n_leader", "n_member")).groupBy(F.col("leader").alias("x"), F.col("member").alias("y")).agg(F.lit(1)).select("x", "y")
-    pairs = to_rep(to_rep(star, "x"), "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    pairs = store.keep(pairs, "pairs")
-    found = _checked(pairs, named, store)
-    edges = found.where("linked").select("a", "b").unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    in_reps = lambda df: to_rep(to_rep(df, "x"), "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+    small = found.where("y is not null").groupBy("x", "y", "all", "rare").agg(F.sum("shared").alias("shared"))
+    counted = small.where("shared >= rare").select("x", "y")
+    often = store.keep(found.where("y is null").select("key", F.col("x").alias("id"), "n", "many").distinct(), "often")
+    ranked = often.join(often.groupBy("key").agg(F.count("*").alias("size")), "key")
+    of_one = Window.partitionBy("id")  # at most a document's keys
+    ranked = ranked.withColumn("place", F.row_number().over(of_one.orderBy("size", "key"))).withColumn("all", F.count("*").over(of_one))
+    used = store.keep(ranked.where(f"place <= `all` - {FEW.format(n='n')} + 1").select("key", "id", "n", "many"), "used")
+    lead = used.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("l"))
+    star = used.join(lead, "key").where((F.col("id") != F.col("l.id")) & _fits("n", "l.n")).groupBy(F.col("l.id").alias("x"), F.col("id").alias("y")).agg(F.lit(1)).select("x", "y")
+    pairs = store.keep(in_reps(counted.unionByName(star)), "pairs")
+    checked = _checked(pairs, named, store)
+    edges = checked.where("linked").select("a", "b").unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     comp = store.keep(components(store, edges), "so_far")
-    more = store.keep(_rest(groups, pairs, comp, to_rep, named, store), "rest")
+    more = store.keep(_rest(used, often, small, pairs, comp, in_reps, named, store), "rest")
     if not more.isEmpty():
         comp = components(store, comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
@@ -317,30 +409,64 @@ def linked(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str
     return per.select("doc_id", "n").unionByName(rows.where("doc_id is null").mapInArrow(count, "doc_id long, n long")), comp
 
 
-def _rest(groups: DataFrame, pairs: DataFrame, comp: DataFrame, to_rep, docs: DataFrame, store: Store) -> DataFrame:
-    """Links between the components so far, among documents that share a key some candidate of which didn't link."""
-    named = lambda df, c, out: df.join(comp.select(F.col("id").alias("__i"), F.col("component").alias("__c")), F.col(c) == F.col("__i"), "left").withColumn(out, F.coalesce("__c", c)).drop("__i", "__c")
-    open_ = named(named(groups.where("rest"), "leader", "c_leader"), "member", "c_member").where("c_leader <> c_member")
-    bad = open_.select("key").distinct()
-    inside = groups.join(bad, "key", "left_semi")
-    members = inside.select("key", F.col("leader").alias("id"), F.col("n_leader").alias("n")).unionByName(
-        inside.select("key", F.col("member").alias("id"), F.col("n_member").alias("n"))
-    )
-    members = store.keep(named(members.distinct(), "id", "c"), "open")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min_by("c", "id").alias("lead"))
-    sized = members.join(sizes, "key")
-    common = sized.where(f"size > {COMMON}").groupBy("id").agg(F.count("*").alias("common"), F.min("n").alias("n"))
-    common = common.where(f"common < {SPARE} and n >= {2 * SPARE}")  # smaller sets may share fewer keys
-    spared = sized.where(f"size > {COMMON}").join(common, "id", "left_anti")
-    used = sized.where(f"size <= {COMMON}").unionByName(spared)
-    x = used.where("c <> lead").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    y = used.select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "lead")
-    met = x.join(y, (F.col("key") == F.col("k")) & F.expr("cx <> cy and (cy = lead or x < y)") & _fits("nx", "ny")).groupBy("x", "y").agg(F.lit(1)).select("x", "y")
-    more = to_rep(to_rep(met, "x"), "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    more = store.keep(more.join(pairs, ["a", "b"], "left_anti"), "more")
+def _rest(used: DataFrame, often: DataFrame, small: DataFrame, pairs: DataFrame, comp: DataFrame, in_reps, docs: DataFrame, store: Store) -> DataFrame:
+    """Links between the components so far, among documents of one used key that have enough keys in common.
+
+    Documents of a key are split into blocks; each pair of blocks is a cell, in which keys in common are counted by a
+    product of matrices. A cell gives only the pairs that have enough of them; others had rare keys in common before.
+    """
+    named = used.join(comp.select(F.col("id").alias("__i"), "component"), F.col("id") == F.col("__i"), "left").withColumn("c", F.coalesce("component", "id")).drop("__i", "component")
+    sizes = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / CELL).cast("int").alias("blocks")).where("low <> high")
+    sets = often.groupBy("id").agg(F.array_sort(F.collect_set(F.hash("key"))).alias("keys"))  # at most a document's keys
+    rows = store.keep(named.join(sizes.select("key", "blocks"), "key"), "open").join(sets, "id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "id", "n", "many", "c", "keys")
+    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second").mapInArrow(_cells, "x long, y long")
+    # pairs that need rare keys too: they are among those counted by these
+    many = often.groupBy("id").agg(F.countDistinct("key").alias("c"))
+    part = small.where("shared < rare").select("x", "y", "all", "shared")
+    for c in "xy":
+        part = part.join(many.select(F.col("id").alias(f"i{c}"), F.col("c").alias(f"c{c}")), F.col(c) == F.col(f"i{c}"))
+    part = part.where("shared + least(cx, cy) >= all").select("x", "y", "all", "shared")
+    for c in "xy":
+        part = part.join(sets.select(F.col("id").alias(f"i{c}"), F.col("keys").alias(f"k{c}")), F.col(c) == F.col(f"i{c}"))
+    helped = part.where(F.col("shared") + F.size(F.array_intersect("kx", "ky")) >= F.col("all")).select("x", "y")
+    met = store.keep(cells.distinct(), "met")
+    more = store.keep(in_reps(met.unionByName(helped)).join(pairs, ["a", "b"], "left_anti"), "more")
     return _checked(more, docs, store).where("linked").select("a", "b")
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a cell in different components that have as many common keys as they need in all."""
+
+    def stream():
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(8)]
+            keys = b.column(8)
+            for i, row in enumerate(zip(*cols, strict=True)):
+                yield row, keys[i].values.to_numpy()
+
+    for (_, i, j), cell in itertools.groupby(stream(), key=lambda r: r[0][:3]):
+        cell = list(cell)  # two blocks at most
+        ids, n, many, c = (np.array([r[0][k] for r in cell], np.int64) for k in (4, 5, 6, 7))
+        every, at = np.unique(np.concatenate([r[1] for r in cell]), return_inverse=True)
+        has = np.zeros((len(cell), len(every)), np.float32)
+        has[np.repeat(np.arange(len(cell)), [len(r[1]) for r in cell]), at] = 1
+        split = sum(not r[0][3] for r in cell) if i != j else 0
+        a, b = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+        if i != j and split in (0, len(cell)):
+            continue
+        common = (has[a] @ has[b].T).astype(np.int64)
+        lack = np.minimum.outer(many[a], many[b]) - np.add.outer(n[a], n[b]) // 7 - common
+        low, high = np.minimum.outer(n[a], n[b]), np.maximum.outer(n[a], n[b])
+        x, y = np.nonzero(np.not_equal.outer(c[a], c[b]) & (4 * low >= 3 * high) & (lack <= 0))
+        x, y = ids[a][x], ids[b][y]
+        once = x < y if not split else x != y
+        x, y = x[once], y[once]
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+
 def joined(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     per, comp = linked(docs, store, id_col, text_col)
