@@ -74,6 +74,19 @@ QUERIES = {
 }
 
 SQL = {
+    # exact: every pair; the operator finds links by hashing, of which the tests measure the recall
+    "op1_embedding_dedup": """
+        WITH RECURSIVE ok AS (
+            SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+                  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+        reach(id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT id, b FROM reach JOIN links ON a = other),
+        found AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+        n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN found ON vec_id = id LEFT JOIN n ON vec_id = a""",
     "op9_url_filter": url_filter.sql(),
     "op5_exact_dedup": """
         WITH t AS (

@@ -49,8 +49,10 @@ class Sentences:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         self.words = coded.dictionary.to_pylist()
-        self.index = coded.indices.to_numpy(zero_copy_only=False)
-        self.docs = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        full = np.fromiter((w != "" for w in self.words), bool, len(self.words))[index]
+        self.index = index[full]
+        self.docs = np.append(0, np.cumsum(full))[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int64)
         stop = np.fromiter((w.endswith(ENDS) for w in self.words), bool, len(self.words))[self.index]
         n = len(self.index)
         first = np.zeros(n + 1, bool)
@@ -196,7 +198,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         at = end
 
 
-def scores(docs: DataFrame, model: tuple[dict, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def scores(docs: DataFrame, model: tuple[dict, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), made: tuple[str, str] = ("score", "worst_sentence")) -> DataFrame:
     """One row per document: doc_id (and columns ``keep``), score, worst_sentence (from 0; -1 without any)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = str(shared._jbroadcast.id())
@@ -208,9 +210,9 @@ def scores(docs: DataFrame, model: tuple[dict, float], id_col: str = "doc_id", t
             for at, texts in _slices(x.column(len(names))):
                 score, worst, _, _ = own.score(texts)
                 cols = [c.slice(at, len(texts)) for c in x.columns[: len(names)]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(score), pa.array(worst)], [*names, "score", "worst_sentence"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(score), pa.array(worst)], [*names, *made])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names) + "score double, worst_sentence long"
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names) + f"{made[0]} double, {made[1]} long"
     rows = docs.select(*names, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     return rows.mapInArrow(run, schema)
 
@@ -247,5 +249,5 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     """The rows of ``docs`` that score below ``threshold``, with its columns."""
     names = [c for c in docs.columns if c != "text"]
     # the text goes along, so rows need no join: ids may repeat
-    out = scores(docs, train(docs, labels), keep=(*[c for c in names if c != "doc_id"], "text"))
-    return out.where(F.col("score") < threshold).select(*docs.columns)
+    out = scores(docs, train(docs, labels), keep=(*[c for c in names if c != "doc_id"], "text"), made=("__score", "__worst"))
+    return out.where(F.col("__score") < threshold).select(*docs.columns)
