@@ -60,7 +60,7 @@ class Pairs:
         """Whether piece b may stand right after piece a (START: at the start)."""
         key = (a, b)
         if (ok := self.known.get(key)) is None:
-            if len(self.known) > 4_000_000:
+            if len(self.known) > 1_000_000:
                 self.known.clear()
             right = self.names[b]
             if a == START:
@@ -133,7 +133,7 @@ class StreamCoder:
 
     HELD = 4
 
-    def __init__(self, pairs: Pairs, unknown, most_states: int = 400_000):
+    def __init__(self, pairs: Pairs, unknown, most_states: int = 200_000):
         self.pairs, self.unknown, self.most = pairs, unknown, most_states
         self.prefixes = {p[:i] for p in pairs.ids for i in range(len(p))}
         self.widest = 0  # places held at most so far

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .bpe_machine import Kept, Pairs, StreamCoder
 
 MARK = "▁"
-KEPT = 350_000
+KEPT = 180_000
 
 
 class Codec:

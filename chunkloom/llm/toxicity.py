@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .bpe_machine import Kept
 from .token_store import spread
 
-MOST, LONGEST, SLICE_CHARS, KEPT, DOCS_AT_ONCE = 2500, 40, 8 << 20, 300_000, 200
+MOST, LONGEST, SLICE_CHARS, KEPT, DOCS_AT_ONCE = 2500, 40, 4 << 20, 100_000, 200
 THRESHOLD = 0.7
 ENDS = tuple(".!?|;:")
 STRIP = ".,;:!?|\"'()[]{}<>*#%-_/\\&=+~`^$@"
