@@ -40,11 +40,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Store, components
+from .shared import Store, components, enter
 
 WORDS, SMALL, PER_WORD = 5, 64, 1.6
 COMMON, LOCAL = 64, 16  # LOCAL: documents with a key in a batch, beyond which one stands for them
-SLICE_CHARS, BUCKET_BYTES = 5 << 20, 16 << 20
+SLICE_CHARS, BUCKET_BYTES = 3 << 20, 8 << 20
 MOST_BROADCAST = 1_000_000  # ids
 CELL = 1024  # documents of a key compared in one go
 CHUNK = 256  # candidates of one document checked in one go
@@ -155,6 +155,7 @@ def _batch(kind: int, rows: int, **cols) -> pa.RecordBatch:
 
 def _map(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Document rows, keys by bucket, and groups within the batch."""
+    enter("ngram_join")
     shrink = zstandard.ZstdCompressor(level=1).compress
     for x in itertools.chain.from_iterable(map(_slices, batches)):
         ids = x.column(0).to_numpy(zero_copy_only=False)

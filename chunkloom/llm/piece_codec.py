@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_machine import Kept, Pairs, StreamCoder
+from .shared import enter
 
 MARK = "▁"
 KEPT = 180_000
@@ -97,6 +98,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool =
     rest = [c for c in docs.columns if c not in (*made, text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("piece_codec", codec.cache_clear)
         own = codec(path)
         for x in batches:
             texts = x.column(len(rest)).to_pylist()

@@ -6,8 +6,12 @@ tasks it ran. Only where that setting is missing (tests on one machine) a folder
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,21 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", "") or LOCAL_FOLDER).rstrip("/")
 
 
+_held: list[tuple[str, Callable]] = []
+
+
+def enter(name: str, clear: Callable = lambda: None) -> None:
+    """Called by tasks in Python: what another operator keeps in this worker is given up first."""
+    if _held and _held[0][0] != name:
+        _held.pop()[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    if not _held:
+        _held.append((name, clear))
+
+
 class Store:
     """Tables written below the shared folder under one fresh name; ``drop`` removes those no longer read."""
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_machine import Kept
+from .shared import enter
 from .token_store import spread
 
 MOST, LONGEST, SLICE_CHARS, KEPT, DOCS_AT_ONCE = 2500, 40, 4 << 20, 100_000, 200
@@ -205,6 +206,7 @@ def scores(docs: DataFrame, model: tuple[dict, float], id_col: str = "doc_id", t
     names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity", _scorer.cache_clear)
         own = _scorer(key, shared)
         for x in batches:
             for at, texts in _slices(x.column(len(names))):
@@ -223,6 +225,7 @@ def located(docs: DataFrame, model: tuple[dict, float], threshold: float = 0.5,
     key = str(shared._jbroadcast.id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity", _scorer.cache_clear)
         own = _scorer(key, shared)
         for x in batches:
             for i in range(x.num_rows):
