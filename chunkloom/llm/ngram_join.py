@@ -377,6 +377,11 @@ def linked(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str
     again = first.where("copies > 1")
     same = store.keep(per.join(again, ["n", "sum", "xor"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "same")
 
+    # an id with several sets stands for itself among candidates: a representative has only one of them
+    differ = F.expr(" or ".join(f"min({c}) <> max({c})" for c in ("n", "sum", "xor")))
+    several = per.where("n > 0").groupBy("doc_id").agg(differ.alias("several")).where("several").select("doc_id")
+    alone = store.keep(same.join(several, "doc_id", "left_anti"), "alone")
+
     found_schema = ", ".join(f"`{c}` long" for c in FOUND)
     dealt = mapped.where(f"kind = {KEYS}").repartitionById(1 << bits, "bucket").select("bucket", "n", "sum", "data")
     local = mapped.where(f"kind = {LOCALS}").select("n", "data").mapInArrow(_local, found_schema)
@@ -384,7 +389,7 @@ def linked(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str
     store.drop(mapped)
 
     # candidates in terms of one document for each set
-    to_rep = lambda df, c: df.join(same.select(F.col("doc_id").alias("__d"), F.col("rep").alias("__r")), F.col(c) == F.col("__d"), "left").withColumn(c, F.coalesce("__r", c)).drop("__d", "__r")
+    to_rep = lambda df, c: df.join(alone.select(F.col("doc_id").alias("__d"), F.col("rep").alias("__r")), F.col(c) == F.col("__d"), "left").withColumn(c, F.coalesce("__r", c)).drop("__d", "__r")
     in_reps = lambda df: to_rep(to_rep(df, "x"), "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
     small = found.where("y is not null").groupBy("x", "y", "all", "rare").agg(F.sum("shared").alias("shared"))
     counted = small.where("shared >= rare").select("x", "y")

@@ -123,6 +123,23 @@ def test_ngram_join_odd_rows(spark, store, odd):
     assert ngram_join.joined(odd.limit(0), store).count() == 0
 
 
+def test_ngram_join_repeated_ids_with_other_texts(spark, store, monkeypatch):
+    """An id whose one text equals another document's and whose other text links elsewhere has both links."""
+    rng = random.Random(6)
+    a, b, c = (words(rng, 20) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (7, [*b[:-1], "new"]), (2, b[::-1]), (8, a[::-1]), (8, b[::-1]), (8, c), (9, [*c[:-1], "new"]), (3, c[::-1])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    many = [(i if rng.random() > 0.03 else rng.randrange(200), t) for i, t in corpus(7)]
+    for name, value in ((None, None), ("COMMON", 3)):
+        if name:
+            monkeypatch.setattr(ngram_join, name, value)
+        for some in (rows, rows[::-1], many):
+            df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+            assert sorted(map(tuple, ngram_join.joined(df, store).collect())) == near(some)
+        got = {r.doc_id: r.component_id for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), store).collect()}
+        assert got == {1: 1, 5: 1, 7: 1, 2: 2, 8: 2, 9: 2, 3: 3}
+
+
 def test_bound_of_sketches():
     """Sets that link share all of their keys but the bound."""
     rng = np.random.default_rng(0)
