@@ -5,6 +5,10 @@ a personalised PageRank from the trusted along links; distrust one from the bloc
 for what it links to. A host is blocked if the distrust that links bring it is more than ``RATIO`` times the trust
 they bring it; what it has as a seed doesn't count, so that a rule for one path says nothing about others.
 
+Both take ``STEPS`` rounds, here and in the SQL, and are not carried on to their limit: a seed reaches hosts up to so
+many links away. A host further than that from any blocked seed gets no distrust, and is allowed where the limit would
+block it; where trust and distrust are close, the limit may decide otherwise.
+
 Links are absolute addresses in href attributes; those within a host are left out, and a link counts once for each
 pair of hosts. Each step is a join and a sum by host, combined before the shuffle; AQE splits hot hosts.
 
