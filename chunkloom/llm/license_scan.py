@@ -5,7 +5,8 @@ single blanks, and only the rules whose keyword is among them run. A rule is a r
 and a weight. Detections are intervals of words: one that lies inside another is suppressed, of equal intervals the
 one of higher priority stays. Labels of what is left are the document's, beside those of three base phrases.
 
-Rules are made from families of licenses: their names, versions and the wordings that grant or mention them.
+Rules are made from families of licenses: their names, versions and the wordings that grant or mention them. Beside
+them stand hand-written ones for bodies and headers of licenses and for SPDX identifiers, in ``license_texts``.
 
 Defined cases: null counts as empty, which has no words, places or labels and a score of 0; phrases hold across
 lines; equal labels count once; an empty table gives an empty result. Other columns are ignored.
@@ -18,6 +19,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import ALONE, handwritten
 from .shared import fold_ascii
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -105,13 +107,17 @@ def rules() -> list[dict]:
                 out.append((tag, keyword, full, 70, 0.9))
             out.append((shown, keyword, GRANT + name, 80, 0.95))
             out.append((shown, keyword, name, 60, 0.8))
-    out += SINGLE
+    out += [*SINGLE, *handwritten()]
     made = [dict(zip(("label", "keyword", "regex", "priority", "weight"), r, strict=True)) for r in out]
     return [r | {"regex": f" ({r['regex']})(?= )"} for r in made]
 
 
-#: Parts of words, one of which stands in whatever a rule or base phrase matches ("cc by" aside).
-GATES = ("licen", "gpl", "clause", "cecill", "cc0", "creative", "reserved", "copyright", "domain", "warrant", "confidential", "permission")
+#: Parts of words, one of which stands in whatever a rule or base phrase matches ("cc by" and versions of ``ALONE`` aside).
+GATES = (
+    "licen", "gpl", "clause", "cecill", "cc0", "creative", "reserved", "copyright", "domain", "warrant", "confidential", "permission",
+    "spdx", "redistribut", "misrepresented", "endorse", "advertising", "liable", "restriction", "compile", "fuck", "evil", "stuff",
+    "openssl", "young", "php", "apache", "mozilla", "jpeg", "font",
+)
 
 _SCHEMA = "array<struct<label string, keyword string, regex string, priority int, weight double>>"
 
@@ -134,6 +140,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     has = F.contains("__low", F.lit("cc")) & F.contains("__low", F.lit("by"))
     for part in GATES:
         has = has | F.contains("__low", F.lit(part))
+    has = has | F.col("__low").rlike(rf"(?:{'|'.join(ALONE)}){GAP}[0-9]")
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace("__low", GAP, " ")), F.lit(" "))
     df = df.withColumn("__norm", F.when(has, norm)).drop("__text", "__low")
 

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from chunkloom.llm import entries, license_scan, source_mix, toxicity, url_filter
+from chunkloom.llm import entries, license_scan, license_texts, source_mix, toxicity, url_filter
 from chunkloom.llm.shared import Store
 
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -42,6 +42,39 @@ def test_license_scan(spark, odd):
     assert license_scan.scanned(odd.limit(0)).count() == 0
 
 
+BODIES = {
+    "Permission is hereby granted, free of charge, to any person": "mit",
+    "// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the \"Software\")": "mit",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software": "ofl",
+    "Redistribution and use in source and binary forms": "bsd",
+    " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted": "bsd",
+    "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-3-clause",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "isc",
+    "with or without fee is hereby granted": "",
+    "The origin of this software must not be misrepresented; you": "zlib",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an “AS IS” BASIS": "apache-2.0",
+    "you can redistribute it. This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl,gpl-2-or-later",
+    "SPDX-License-Identifier: MIT": "mit",
+    "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC": "apache-2.0,isc,mit",
+    "SPDX-License-Identifier: BSD-3-Clause-Clear": "bsd-3-clause-clear",
+    "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0",
+    "Apache-2.0": "apache-2.0",
+    "see MPL 2.0.": "mpl-2.0",
+    "mit isc ruby": "",
+}
+
+
+def test_license_bodies_and_spdx(spark):
+    rows = list(enumerate(BODIES))
+    got = {r.doc_id: r for r in license_scan.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i].labels for i, t in rows} == BODIES
+    assert len(license_texts.handwritten()) > 300
+    for label, _, regex, _, _ in license_texts.handwritten():
+        assert any(g in regex for g in license_scan.GATES) or regex.split()[0] in license_texts.ALONE, label
+    for label, keyword, regex, _, _ in license_texts.BODIES:  # a keyword stands in whatever the rule matches
+        assert keyword in regex, label
+
+
 def test_license_scan_is_native(spark, odd):
     plan = license_scan.scanned(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
