@@ -1,30 +1,32 @@
 """Jaccard join on word shingles by parity sketches.
 
-A document's set is its distinct shingles of five words. A sketch has one word per class of shingles: the XOR of the
-hashes of the document's shingles in that class. A shingle in one set only changes one word, so the number of words
-in which two sketches differ, their Hamming distance, is at most the sets' symmetric difference. At a similarity of
-3/4 that is at most (a + b) / 7 for sizes a and b. So of the first non-empty words of one sketch, all but that many
-are words of the other: with ``d`` the bound for the largest size that may link, the first d + g words of each are
-its keys, and sketches that may link have at least g keys in common (pigeonhole), or all but the bound where a sketch
-has fewer words. Sketches are cut by bands of the larger size (64, 128, 256 ..), with a word for ``PER_WORD``
-shingles; a document stands in the band of its size, and as a guest in the next one if larger documents there may
-link to it. Up to 64 shingles every shingle is a class of its own.
-
-Keys meet by hash. Of a key of up to ``COMMON`` documents all pairs are counted, by pair, in the task that has the
-key; the sums over keys show which pairs have enough in common to link at all. Few do that don't link: a passage
-shared by otherwise different documents fills few words alone. Those pairs are checked on their texts.
-
-Keys of more documents are kept as members, after batches of the input have each put one document for many. What
-links has at least ``few`` of them in common, or as many rare ones fewer as counts above allow for. So of a document's
-common keys, in one order from the rarest on, all but the last ``few`` - 1 suffice to meet what it links to (a prefix
-filter). By these, the first document of a key is checked with each other; where a key's documents aren't in one
-component then, those outside the first one's meet all in other components, and are checked if all their common and
-rare keys together are enough. So no link that joins two components is lost.
-
-Documents of equal sets are one. Defined cases: null and blank texts have an empty set and no links; texts under five
-words have their whole sequence as one shingle; rows without doc_id take part in nothing and have no component; rows
-repeating a doc_id count as one node with the links of all; an empty table gives an empty result. Other columns are
-ignored, whatever their names.
+A document's set is its distinct shingles of five words. Its sketch has one word per class of shingles: the XOR of
+the hashes of the shingles in that class. A shingle in one set only changes one word, so the number of words in which
+two sketches differ, their Hamming distance, is at most the sets' symmetric difference. At a similarity of 3/4 that is
+at most (a + b) / 7 for sizes a and b. Sketches are cut by bands of the larger size (64, 128, 256 ..), with a word for
+``PER_WORD`` shingles; a document stands in the band of its size, and as a guest in the next one if larger documents
+there may link to it. Up to 64 shingles there are 2^32 classes. The words fold to bits: a second sketch, of four bits
+or more for each shingle of the band, has the parity of the shingles at each bit, and the same bound holds for it.
+
+1. Screening. Of a sketch's non-empty words all but the bound are words of whatever it links to (pigeonhole). So each
+   word of each document is sent, in four bytes, to the task that meets all equal ones, which sends back how many of a
+   document's words others have too; a document with too few is alone. Few documents stay.
+2. Keys. Of those that stay, the first words up to the bound and one more, the rarest first, are its keys: what links
+   has a key in common.
+3. Star. Of the documents with a key one is paired with each other. Pairs whose bit sketches are within the bound are
+   checked on their whole sets.
+4. Rest. Where a key's documents aren't in one component now, those of different components are compared by their bit
+   sketches, in blocks, one key for all keys of the same documents; pairs within the bound, and only these, leave the
+   task and are checked on their whole sets. So no link that joins two components is lost.
+
+If a sketch has no more words than its bound (classes hold a few shingles each, so chance would need to put most into
+few classes), all is done again with more classes. Equal sets are one node, told by 64-bit digests of their 64-bit
+shingle hashes; links are checked on those hashes.
+
+Defined cases: null and blank texts have an empty set and no links; texts under five words have their whole sequence as
+one shingle; rows without doc_id take part in nothing and have no component; ids are taken as long; rows repeating a
+doc_id count as one node with the links of all; an empty table gives an empty result. Other columns are ignored,
+whatever their names. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -36,18 +38,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Store, components, enter
 
 WORDS, SMALL, PER_WORD = 5, 64, 1.6
-COMMON, LOCAL = 64, 16  # LOCAL: documents with a key in a batch, beyond which one stands for them
-SLICE_CHARS, BUCKET_BYTES = 3 << 20, 8 << 20
+SLICE_CHARS, SLICE_ROWS, BUCKET_BYTES = 3 << 20, 30_000, 16 << 20
 MOST_BROADCAST = 1_000_000  # ids
 CELL = 1024  # documents of a key compared in one go
-CHUNK = 256  # candidates of one document checked in one go
+BITS, LEAST_BITS = 4, 512  # of the bit sketch, for each shingle of a band's largest set; at least
+NOBODY = 0xFFFF  # in the place of a document: needs no answer
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64's constants
 
@@ -89,63 +90,78 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(doc[new], minlength=len(n)).astype(np.int64)
 
 
-def spare(n: np.ndarray) -> np.ndarray:
-    """Keys beyond the bound: so many, at least, do sketches have in common that may link."""
-    return 8 + n // 8
+def bound(n: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The most words in which a sketch differs from one that links to it, in the band up to size ``top``."""
+    return (n + np.minimum(top, 4 * n // 3)) // 7
 
 
-def few(n: np.ndarray) -> np.ndarray:
-    """Keys that a sketch has in common with whatever it may link to, at least; ``spare`` of the smallest such."""
-    return np.where(n < 12, 1, 5 + 3 * n // 32)
+def keys(h: np.ndarray, n: np.ndarray, per_word: float | None = None) -> tuple[np.ndarray, ...]:
+    """Words of all sketches: (words, unit of each; of the units: document, number of words, guest or not, band).
 
-
-#: The same in SQL.
-FEW = "if({n} < 12, 1, 5 + 3 * {n} div 32)"
-
-
-def keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, unit of each; of the units: document, number of keys, whether it is a guest in its band)."""
+    A unit is a document in a band; words of different classes and bands are told apart by a salt.
+    """
+    per_word = per_word or PER_WORD
     out, units = [], 0
-    most = 4 * n // 3
     home = np.maximum(SMALL, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     start = np.cumsum(n) - n
     value = mix(h + np.uint64(1))
     for guest in (False, True):
-        docs = np.flatnonzero((n > 0) & (most > home if guest else True))
+        docs = np.flatnonzero((n > 0) & (4 * n // 3 > home if guest else True))
         if not len(docs):
             continue
         top = home[docs] * (2 if guest else 1)
-        bound = (n[docs] + np.minimum(top, most[docs])) // 7
         at = np.repeat(start[docs] - (np.cumsum(n[docs]) - n[docs]), n[docs]) + np.arange(int(n[docs].sum()))
         d = np.repeat(np.arange(len(docs)), n[docs])
-        classes = np.where(top <= SMALL, 1 << 32, np.ceil(top / PER_WORD).astype(np.int64)).astype(np.uint64)
+        classes = np.where(top <= SMALL, 1 << 32, np.ceil(top / per_word).astype(np.int64)).astype(np.uint64)
         cls = ((h[at] >> np.uint64(32)) * classes[d]) >> np.uint64(32)  # ascending, as h is
         first = np.ones(len(at), bool)
         first[1:] = (cls[1:] != cls[:-1]) | (d[1:] != d[:-1])
         first = np.flatnonzero(first)
         word = np.bitwise_xor.reduceat(value[at], first)
         owner = d[first]
-        rank = np.arange(len(first)) - np.searchsorted(owner, np.arange(len(docs)))[owner]
-        use = rank < (bound + spare(n[docs]))[owner]
-        salt = mix(cls[first][use] * np.uint64(2) + top[owner[use]].astype(np.uint64) * _B)
-        out.append((mix(word[use] + salt), units + owner[use], docs, np.bincount(owner[use], minlength=len(docs)), np.full(len(docs), guest)))
+        salt = mix(cls[first] * np.uint64(2) + top[owner].astype(np.uint64) * _B)
+        out.append((mix(word + salt), units + owner, docs, np.bincount(owner, minlength=len(docs)), np.full(len(docs), guest), top))
         units += len(docs)
     if not out:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none, none.astype(bool)
+        return none.astype(np.uint64), none, none, none, none.astype(bool), none
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def parities(h: np.ndarray, top: int) -> np.ndarray:
+    """The bit sketch of a set in the band up to ``top``, as words of 64 bits."""
+    size = max(LEAST_BITS, BITS * top)
+    at = mix(h ^ _B) >> np.uint64(64 - (size - 1).bit_length())
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=size).astype(np.uint8) & 1).view(np.uint64)
+
+
+def digests(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One number for each set; 0 for empty ones."""
+    out = np.zeros(len(n), np.uint64)
+    if (some := np.flatnonzero(n)).size:
+        start = (np.cumsum(n) - n)[some]
+        both = np.add.reduceat(h, start) ^ mix(np.bitwise_xor.reduceat(mix(h), start) + n[some].astype(np.uint64))
+        out[some] = mix(both) | np.uint64(1)
+    return out.view(np.int64)
+
+
 def _slices(x: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     upto, at = np.cumsum(pc.binary_length(x.column(1)).to_numpy(zero_copy_only=False)), 0
     while at < len(upto):
         end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_CHARS, "right")))
+        end = min(end, at + SLICE_ROWS)
         yield x.slice(at, end - at)
         at = end
 
 
-MAPPED = {"kind": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "sum": pa.int64(), "xor": pa.int64(), "bucket": pa.int32(), "data": pa.binary()}
-DOC, KEYS, LOCALS = range(3)
+def _gathered(n: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the shingles of the documents ``which``."""
+    start, size = (np.cumsum(n) - n)[which], n[which]
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+MAPPED = {"kind": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "code": pa.int64(), "slice": pa.int64(), "bucket": pa.int32(), "data": pa.binary()}
+DOC, UNITS, KEYS = range(3)
 
 
 def _batch(kind: int, rows: int, **cols) -> pa.RecordBatch:
@@ -153,206 +169,96 @@ def _batch(kind: int, rows: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, list(MAPPED))
 
 
-def _map(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Document rows, keys by bucket, and groups within the batch."""
+def _map(batches: Iterator[pa.RecordBatch], bits: int, per_word: float) -> Iterator[pa.RecordBatch]:
+    """Rows of documents; of each slice its units, and their words by bucket."""
+    from pyspark import TaskContext
+
     enter("ngram_join")
-    shrink = zstandard.ZstdCompressor(level=1).compress
+    number = TaskContext.get().partitionId() << 32
     for x in itertools.chain.from_iterable(map(_slices, batches)):
-        ids = x.column(0).to_numpy(zero_copy_only=False)
+        number += 1
         h, n = shingles(x.column(1))
-        start = np.cumsum(n) - n
-        total, xor = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-        if (some := np.flatnonzero(n)).size:
-            total[some] = np.add.reduceat(h, start[some])
-            xor[some] = np.bitwise_xor.reduceat(mix(h), start[some])
-        yield _batch(DOC, len(n), doc_id=ids, n=n, sum=total.view(np.int64), xor=xor.view(np.int64))
-        # one document for each set
-        order = np.lexsort((ids, xor, total, n))
-        lead = np.ones(len(order), bool)
-        lead[1:] = np.any([v[order][1:] != v[order][:-1] for v in (n, total, xor)], axis=0)
-        lead = np.sort(order[lead & (n[order] > 0)])
-        at = np.repeat(start[lead] - (np.cumsum(n[lead]) - n[lead]), n[lead]) + np.arange(int(n[lead].sum()))
-        key, unit, doc, many, guest = keys(h[at], n[lead])
-        doc, code = lead[doc], many * 2 + guest
-        order = np.lexsort((ids[doc[unit]], key))
+        code = digests(h, n)
+        yield _batch(DOC, len(n), doc_id=x.column(0), n=n, code=code)
+        _, lead = np.unique(code, return_index=True)  # one document for each set
+        lead = lead[n[lead] > 0]
+        key, unit, doc, many, _, top = keys(h[_gathered(n, lead)], n[lead], per_word)
+        order = np.argsort(key, kind="stable")
         key, unit = key[order], unit[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(key)))
-        each = np.repeat(size, size)
-        hidden = each > LOCAL  # one stands for them all
-        hidden[first] = False
-        if (rest := np.flatnonzero(hidden)).size:
-            low = np.uint64(24 - bits)  # as far as keys are told apart among batches
-            data = (key[rest] >> low << low).tobytes() + ids[doc[unit[rest]]].tobytes() + n[doc[unit[rest]]].tobytes() + code[unit[rest]].tobytes()
-            yield _batch(LOCALS, 1, n=[len(rest)], data=[shrink(data)])
-        key, unit, size = key[~hidden], unit[~hidden], np.where(each > LOCAL, each, 1)[~hidden]
+        each = np.repeat(size := np.diff(np.append(first, len(key))), size)
+        here = np.bincount(unit[each > 1], minlength=len(doc))  # known to be shared; one is sent, to tell others
+        most = bound(n[lead][doc], top)
+        data = code[lead][doc].tobytes() + b"".join(v.astype("<u4").tobytes() for v in (many, most, here))
+        yield _batch(UNITS, 1, n=[len(doc)], slice=[number], data=[data])
+        key, who = key[first], np.where(size > 1, NOBODY, unit[first]).astype("<u2")
         bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-        order = np.lexsort((unit, bucket))
-        key, unit, size, bucket = key[order], unit[order], size[order], bucket[order]
-        for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(bucket)) + 1):
-            if len(part):
-                k = key[part] << np.uint64(bits)
-                run = np.flatnonzero(np.append(True, np.diff(unit[part]) != 0))
-                runs = np.diff(np.append(run, len(part)))
-                who = unit[part][run]
-                data = (k >> np.uint64(32)).astype("<u4").tobytes() + (k >> np.uint64(24)).astype(np.uint8).tobytes()
-                data += np.minimum(size[part], 255).astype(np.uint8).tobytes()
-                data += ids[doc[who]].tobytes() + n[doc[who]].tobytes() + code[who].tobytes() + runs.astype("<u4").tobytes()
-                yield _batch(KEYS, 1, n=[len(part)], sum=[len(run)], bucket=[int(bucket[part[0]])], data=[shrink(data)])
-
-
-def _unpack(bucket: int, m: int, runs: int, data: bytes, bits: int) -> tuple[np.ndarray, ...]:
-    """Of a blob: keys, numbers of documents each stands for, lengths of runs; ids, sizes and codes of the runs."""
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    k = np.frombuffer(raw, "<u4", m).astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, np.uint8, m, 4 * m).astype(np.uint64) << np.uint64(24)
-    k = k >> np.uint64(bits) | (np.uint64(bucket) << np.uint64(64 - bits) if bits else np.uint64(0))
-    size, at = np.frombuffer(raw, np.uint8, m, 5 * m), 6 * m
-    ids, n, code = (np.frombuffer(raw, "<i8", runs, at + 8 * runs * i) for i in range(3))
-    return k, size, np.frombuffer(raw, "<u4", runs, at + 24 * runs), ids, n, code
-
-
-#: Pairs with the keys they share, and need if they link, in all and by rare keys; or, without a second document,
-#: members of common keys with their numbers of shingles and keys.
-FOUND = {"x": pa.int64(), "y": pa.int64(), "all": pa.int64(), "rare": pa.int64(), "shared": pa.int64(), "key": pa.int64(), "n": pa.int64(), "many": pa.int64()}
-
-
-def _found(**cols) -> pa.RecordBatch:
-    rows = len(next(iter(cols.values())))
-    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(rows, t) for c, t in FOUND.items()], list(FOUND))
-
-
-def _meet(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """All keys of a bucket: pairs of documents with the number of keys they share, and members of common keys."""
-    rows = (tuple(c[i].as_py() for c in x.columns) for x in batches for i in range(x.num_rows))
-    for _, blobs in itertools.groupby(rows, key=lambda r: r[0]):
-        key, size, runs, ids, n, code = (np.concatenate(c) for c in zip(*(_unpack(*b, bits) for b in blobs), strict=True))
-        unit = np.repeat(np.arange(len(ids)), runs)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        same = np.zeros(len(k), bool)
-        same[1:] = k[1:] == k[:-1]
-        same[:-1] |= same[1:].copy()
-        order = order[same | (size[order] > 1)]
-        k, unit, size = key[order], unit[order], size[order].astype(np.int64)
-        if not len(k):
-            continue
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        count, total = np.diff(np.append(first, len(k))), np.add.reduceat(size, first)
-        common = (total > COMMON) | (total > count)
-        if (far := np.flatnonzero(np.repeat(common, count))).size:
-            for part in np.array_split(far, len(far) // 200_000 + 1):
-                yield _found(x=ids[unit[part]], key=k[part].view(np.int64), n=n[unit[part]], many=code[unit[part]] >> 1)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for c in np.unique(count[~common]).tolist():
-            if c < 2:
-                continue
-            at = first[~common & (count == c)]
-            a, b = np.triu_indices(c, 1)
-            step = max(1, 500_000 // len(a))
-            for low in range(0, len(at), step):
-                u = unit[at[low : low + step, None] + np.arange(c)]
-                x, y = u[:, a].ravel(), u[:, b].ravel()
-                ok = (ids[x] != ids[y]) & (code[x] & code[y] & 1 == 0) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
-                x, y = x[ok], y[ok]
-                held.append(np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y), return_counts=True))
-        if not held:
-            continue
-        pairs, back = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-        shared = np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
-        x, y = pairs // len(ids), pairs % len(ids)
-        need = np.minimum(code[x] >> 1, code[y] >> 1) - (n[x] + n[y]) // 7
-        rare = need - few(np.maximum(n[x], n[y])) + 1
-        for part in np.array_split(np.arange(len(x)), len(x) // 200_000 + 1):
-            i, j = ids[x[part]], ids[y[part]]
-            yield _found(x=np.minimum(i, j), y=np.maximum(i, j), all=need[part], rare=rare[part], shared=shared[part])
-
-
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        for m, data in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-            raw = zstandard.ZstdDecompressor().decompress(data)
-            k, ids, n, code = (np.frombuffer(raw, "<i8", m, 8 * m * i) for i in range(4))
-            yield _found(x=ids, key=k, n=n, many=code >> 1)
-
+        rest = (key << np.uint64(bits) >> np.uint64(32)).astype("<u4")
+        cut = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(key) else np.zeros(0, np.int64)
+        ends = [*cut[1:].tolist(), len(key)]
+        blobs = [rest[a:b].tobytes() + who[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=False)]
+        if blobs:
+            yield _batch(KEYS, len(blobs), n=np.diff([*cut, len(key)]), slice=np.full(len(blobs), number), bucket=bucket[cut].astype(np.int32), data=blobs)
 
-def _fits(a: str, b: str):
-    return F.expr(f"4 * least({a}, {b}) >= 3 * greatest({a}, {b})")
 
-
-def _checked(pairs: DataFrame, docs: DataFrame, store: Store) -> DataFrame:
-    """(a, b, linked) for ``pairs(a, b)``, on the texts of the documents concerned.
-
-    A document's candidates are split into chunks of about ``CHUNK``, each of which gets its text once. Where there
-    are many pairs of few documents, documents are split into blocks instead, and a pair of blocks is checked in one go.
-    """
-    found = pairs.agg(F.count("*"), F.approx_count_distinct("b")).first()
-    if found[0] > 4 * max(1, found[1]):
-        return _checked_in_blocks(pairs, docs, store)
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), "b")
-    first = dealt.groupBy("a", "chunk").agg(F.lit(None).cast("long").alias("b")).select(F.col("a").alias("id"), "a", "chunk", "b")
-    wanted = store.keep(first.unionByName(dealt.select(F.col("b").alias("id"), "a", "chunk", "b")), "wanted")
-    few = wanted.count() <= MOST_BROADCAST
-    rows = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id")).select("a", "text", "chunk", "b")
-    rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
-        for x in itertools.chain.from_iterable(map(_slices, batches)):
-            out = []
-            h, n = shingles(x.column(1))
-            ends = np.cumsum(n)
-            for a, chunk, b, start, end in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), x.column(3).to_pylist(), (ends - n).tolist(), ends.tolist(), strict=True):
-                got = h[start:end]
-                if b is None:
-                    if (a, chunk) != at:
-                        at, own = (a, chunk), []
-                    own.append(got.copy())  # several only if rows repeat the id
-                    continue
-                out.append((a, b, any(_alike(s, got) for s in own)))
-            if out:
-                cols = (pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True))
-                yield pa.RecordBatch.from_arrays(list(cols), ["a", "b", "linked"])
-
-    done = rows.mapInArrow(compare, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
-    out = store.keep(done, "checked")
-    store.drop(wanted)
-    return out
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    return (tuple(c[i].as_py() for c in x.columns) for x in batches for i in range(x.num_rows))
 
 
-def _checked_in_blocks(pairs: DataFrame, docs: DataFrame, store: Store) -> DataFrame:
-    ids = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    n_ids = ids.count()
-    blocks = n_ids // CHUNK + 1
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    placed = pairs.select("a", "b", F.least(of("a"), of("b")).alias("i"), F.greatest(of("a"), of("b")).alias("j"))
-    wanted = placed.select("i", "j", F.explode(F.array("a", "b")).alias("id")).distinct()
-    few_ids = n_ids <= MOST_BROADCAST
-    texts = store.keep(docs.join(F.broadcast(ids) if few_ids else ids, F.col("doc_id") == F.col("id")).select("id", "text"), "texts")
-    rows = wanted.join(texts, "id").select("i", "text", "j", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"))
-    rows = rows.unionByName(placed.select("i", F.lit("").alias("text"), "j", "a", "b"))
-    rows = rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first())
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, {}
-        for x in itertools.chain.from_iterable(map(_slices, batches)):
-            out = []
-            h, n = shingles(x.column(1))
-            ends = np.cumsum(n)
-            for i, j, a, b, start, end in zip(*(x.column(k).to_pylist() for k in (0, 2, 3, 4)), (ends - n).tolist(), ends.tolist(), strict=True):
-                if (i, j) != at:
-                    at, own = (i, j), {}
-                if b is None:
-                    own.setdefault(a, []).append(h[start:end].copy())  # several only if rows repeat the id
-                else:
-                    out.append((a, b, any(_alike(s, t) for s in own.get(a, ()) for t in own.get(b, ()))))
-            if out:
-                cols = (pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True))
-                yield pa.RecordBatch.from_arrays(list(cols), ["a", "b", "linked"])
-
-    out = store.keep(rows.mapInArrow(compare, "a long, b long, linked boolean"), "checked")
-    store.drop(ids, texts)
-    return out
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All words of a bucket: for each slice, which of its units have words that others have, and how many."""
+    enter("ngram_join")
+    for _, blobs in itertools.groupby(_rows(batches), key=lambda r: r[0]):
+        _, slices, sizes, data = zip(*blobs, strict=True)
+        rest = np.concatenate([np.frombuffer(d, "<u4", m) for d, m in zip(data, sizes, strict=True)])
+        who = np.concatenate([np.frombuffer(d, "<u2", m, 4 * m) for d, m in zip(data, sizes, strict=True)])
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(rest, kind="stable")
+        same = rest[order][1:] == rest[order][:-1]
+        shared = np.zeros(len(rest), bool)
+        shared[order[1:][same]] = shared[order[:-1][same]] = True
+        shared &= who != NOBODY
+        found, count = np.unique(of[shared] << 16 | who[shared], return_counts=True)
+        if len(found):
+            cut = np.flatnonzero(np.append(True, np.diff(found >> 16) != 0))
+            unit, count = (found & 0xFFFF).astype("<u2"), count.astype("<u4")
+            blobs = [unit[a:b].tobytes() + count[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(found)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(slices)[found[cut] >> 16]), pa.array(blobs, pa.binary())], ["slice", "data"])
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of a slice that may link: (code, crowded); the row with units comes first."""
+    for _, rows in itertools.groupby(_rows(batches), key=lambda r: r[0]):
+        _, n, raw = next(rows)
+        code = np.frombuffer(raw, "<i8", n)
+        many, most, here = (np.frombuffer(raw, "<u4", n, 8 * n + 4 * n * i).astype(np.int64) for i in range(3))
+        for _, _, data in rows:
+            m = len(data) // 6
+            here[np.frombuffer(data, "<u2", m)] += np.frombuffer(data, "<u4", m, 2 * m)
+        stay = np.flatnonzero(here >= many - most)
+        yield pa.RecordBatch.from_arrays([pa.array(code[stay]), pa.array((many <= most)[stay])], ["code", "crowded"])
+
+
+UNIT = "code long, top long, n long, most long, guest boolean, parity array<long>, `keys` array<long>, members binary"
+
+
+def _units(batches: Iterator[pa.RecordBatch], per_word: float) -> Iterator[pa.RecordBatch]:
+    """Sketches of the documents that stay, by band, and their whole sets."""
+    enter("ngram_join")
+    lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
+    for x in itertools.chain.from_iterable(map(_slices, batches)):
+        h, n = shingles(x.column(1))
+        code = digests(h, n)
+        key, unit, doc, many, guest, top = keys(h, n, per_word)
+        if not len(doc):
+            continue
+        key = key[np.argsort(unit, kind="stable")].view(np.int64)
+        ends = np.cumsum(n)
+        sets = [h[ends[d] - n[d] : ends[d]] for d in doc]
+        bits = [parities(s, t) for s, t in zip(sets, top.tolist(), strict=True)]
+        whole = [None if g else s.tobytes() for s, g in zip(sets, guest, strict=True)]
+        cols = [pa.array(code[doc]), pa.array(top), pa.array(n[doc]), pa.array(bound(n[doc], top)), pa.array(guest), lists([len(b) for b in bits], np.concatenate(bits).view(np.int64)), lists(many, key), pa.array(whole, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["code", "top", "n", "most", "guest", "parity", "keys", "members"])
 
 
 def _alike(s: np.ndarray, t: np.ndarray) -> bool:
@@ -363,114 +269,130 @@ def _alike(s: np.ndarray, t: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(s) + len(t) - both)
 
 
-def linked(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        same = [_alike(np.frombuffer(s.as_py(), "<u8"), np.frombuffer(t.as_py(), "<u8")) for s, t in zip(b.column(2), b.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(same, pa.bool_()))
+
+
+def _links(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """Those of ``pairs(x, y)`` whose sets have a similarity of 3/4."""
+    sets = units.where("not guest")
+    for c in "xy":
+        pairs = pairs.join(sets.select(F.col("code").alias(f"c{c}"), F.col("members").alias(f"s{c}")), F.col(c) == F.col(f"c{c}"))
+    return pairs.select("x", "y", "sx", "sy").mapInArrow(_compared, "x long, y long")
+
+
+def _within(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """Those of ``pairs(x, y, top)`` whose bit sketches are within the bound: (x, y)."""
+    for c in "xy":
+        part = units.select(F.col("code").alias(f"c{c}"), F.col("top").alias(f"t{c}"), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+        pairs = pairs.join(part, (F.col(c) == F.col(f"c{c}")) & (F.col("top") == F.col(f"t{c}")))
+    distance = F.expr("aggregate(zip_with(px, py, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+    return pairs.where(distance <= F.expr("(nx + ny) div 7")).select("x", "y").distinct()
+
+
+def linked(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text", per_word: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, n; (id, component) of those with links)."""
+    per_word = per_word or PER_WORD
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = rows.where("doc_id is not null")
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(24, max(0, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES))))))
-    schema = "kind int, doc_id long, n long, sum long, xor long, bucket int, data binary"
-    mapped = store.keep(named.mapInArrow(lambda x: _map(x, bits), schema), "mapped", "none")
-
-    per = store.keep(mapped.where(f"kind = {DOC}").select("doc_id", "n", "sum", "xor"), "sizes")
-    first = per.where("n > 0").groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    again = first.where("copies > 1")
-    same = store.keep(per.join(again, ["n", "sum", "xor"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "same")
-
-    # an id with several sets stands for itself among candidates: a representative has only one of them
-    differ = F.expr(" or ".join(f"min({c}) <> max({c})" for c in ("n", "sum", "xor")))
-    several = per.where("n > 0").groupBy("doc_id").agg(differ.alias("several")).where("several").select("doc_id")
-    alone = store.keep(same.join(several, "doc_id", "left_anti"), "alone")
-
-    found_schema = ", ".join(f"`{c}` long" for c in FOUND)
-    dealt = mapped.where(f"kind = {KEYS}").repartitionById(1 << bits, "bucket").select("bucket", "n", "sum", "data")
-    local = mapped.where(f"kind = {LOCALS}").select("n", "data").mapInArrow(_local, found_schema)
-    found = store.keep(dealt.mapInArrow(lambda x: _meet(x, bits), found_schema).unionByName(local), "found", "zstd")
+    bits = min(24, max(0, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES))))))  # words take as many bytes as texts, at most
+    schema = "kind int, doc_id long, n long, code long, slice long, bucket int, data binary"
+    mapped = store.keep(named.mapInArrow(lambda x: _map(x, bits, per_word), schema), "mapped", "none")
+
+    per = store.keep(mapped.where(f"kind = {DOC}").select("doc_id", "n", "code"), "sizes")
+    told = mapped.where(f"kind = {KEYS}").repartitionById(1 << bits, "bucket").select("bucket", "slice", "n", "data").mapInArrow(_meet, "slice long, data binary")
+    told = mapped.where(f"kind = {UNITS}").select("slice", "n", "data").unionByName(told.select("slice", F.lit(None).cast("long").alias("n"), "data"))
+    told = told.repartition("slice").sortWithinPartitions("slice", F.col("n").asc_nulls_last())
+    stay = store.keep(told.mapInArrow(_decide, "code long, crowded boolean").groupBy("code").agg(F.max("crowded").alias("crowded")), "stay")
     store.drop(mapped)
+    if not stay.where("crowded").isEmpty():
+        store.drop(per, stay)
+        return linked(docs, store, id_col, text_col, per_word / 2)
+
+    reps = per.where("n > 0").groupBy("code").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    same = store.keep(per.join(reps.where("copies > 1"), "code").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "same")
+    reps = store.keep(stay.select("code").join(reps, "code").select("code", "rep"), "reps")
+    ids = reps.select(F.col("rep").alias("id")).distinct()
+    found = named.join(F.broadcast(ids) if reps.count() <= MOST_BROADCAST else ids, F.col("doc_id") == F.col("id")).select("doc_id", "text")
+    units = store.keep(found.mapInArrow(lambda x: _units(x, per_word), UNIT).dropDuplicates(["code", "top"]), "units")
+
+    words = units.select("code", "top", "n", "most", "guest", F.explode("keys").alias("key"))
+    often = words.groupBy("key").agg(F.count("*").alias("size"))
+    of_one = Window.partitionBy("code", "top").orderBy("size", "key")  # a document's words in a band
+    used = words.join(often, "key").withColumn("place", F.row_number().over(of_one)).where("place <= most + 1 and size > 1")
+    used = store.keep(used.select("key", "code", "top", "n", "guest"), "used")
+
+    first = used.groupBy("key").agg(F.min(F.struct("guest", "code", "n")).alias("l"))
+    star = used.join(first, "key").where("code <> l.code and not (guest and l.guest) and 4 * least(n, l.n) >= 3 * greatest(n, l.n)")
+    star = star.select(F.least("code", "l.code").alias("x"), F.greatest("code", "l.code").alias("y"), "top").distinct()
+    tried = store.keep(_within(star, units), "tried")
+    links = store.keep(_links(tried, units), "links")
+    comp = store.keep(components(store, links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "so_far")
+    more = store.keep(_links(_rest(used, units, comp, store).join(tried, ["x", "y"], "left_anti"), units), "more")
+
+    edges = more.unionByName(comp.select(F.col("id").alias("x"), F.col("component").alias("y")))
+    for c in "xy":
+        edges = edges.join(reps.select(F.col("code").alias(f"c{c}"), F.col("rep").alias(f"r{c}")), F.col(c) == F.col(f"c{c}"))
+    return rows_of(per, rows), components(store, edges.select(F.col("rx").alias("a"), F.col("ry").alias("b")).unionByName(same))
+
 
-    # candidates in terms of one document for each set
-    to_rep = lambda df, c: df.join(alone.select(F.col("doc_id").alias("__d"), F.col("rep").alias("__r")), F.col(c) == F.col("__d"), "left").withColumn(c, F.coalesce("__r", c)).drop("__d", "__r")
-    in_reps = lambda df: to_rep(to_rep(df, "x"), "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    small = found.where("y is not null").groupBy("x", "y", "all", "rare").agg(F.sum("shared").alias("shared"))
-    counted = small.where("shared >= rare").select("x", "y")
-    often = store.keep(found.where("y is null").select("key", F.col("x").alias("id"), "n", "many").distinct(), "often")
-    ranked = often.join(often.groupBy("key").agg(F.count("*").alias("size")), "key")
-    of_one = Window.partitionBy("id")  # at most a document's keys
-    ranked = ranked.withColumn("place", F.row_number().over(of_one.orderBy("size", "key"))).withColumn("all", F.count("*").over(of_one))
-    used = store.keep(ranked.where(f"place <= `all` - {FEW.format(n='n')} + 1").select("key", "id", "n", "many"), "used")
-    lead = used.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("l"))
-    star = used.join(lead, "key").where((F.col("id") != F.col("l.id")) & _fits("n", "l.n")).groupBy(F.col("l.id").alias("x"), F.col("id").alias("y")).agg(F.lit(1)).select("x", "y")
-    pairs = store.keep(in_reps(counted.unionByName(star)), "pairs")
-    checked = _checked(pairs, named, store)
-    edges = checked.where("linked").select("a", "b").unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    comp = store.keep(components(store, edges), "so_far")
-    more = store.keep(_rest(used, often, small, pairs, comp, in_reps, named, store), "rest")
-    if not more.isEmpty():
-        comp = components(store, comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+def rows_of(per: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, n) of all rows, those without doc_id too."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in itertools.chain.from_iterable(map(_slices, batches)):
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(shingles(x.column(1))[1])], ["doc_id", "n"])
 
-    return per.select("doc_id", "n").unionByName(rows.where("doc_id is null").mapInArrow(count, "doc_id long, n long")), comp
+    return per.select("doc_id", "n").unionByName(rows.where("doc_id is null").mapInArrow(count, "doc_id long, n long"))
 
 
-def _rest(used: DataFrame, often: DataFrame, small: DataFrame, pairs: DataFrame, comp: DataFrame, in_reps, docs: DataFrame, store: Store) -> DataFrame:
-    """Links between the components so far, among documents of one used key that have enough keys in common.
-
-    Documents of a key are split into blocks; each pair of blocks is a cell, in which keys in common are counted by a
-    product of matrices. A cell gives only the pairs that have enough of them; others had rare keys in common before.
-    """
-    named = used.join(comp.select(F.col("id").alias("__i"), "component"), F.col("id") == F.col("__i"), "left").withColumn("c", F.coalesce("component", "id")).drop("__i", "component")
-    sizes = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / CELL).cast("int").alias("blocks")).where("low <> high")
-    sets = often.groupBy("id").agg(F.array_sort(F.collect_set(F.hash("key"))).alias("keys"))  # at most a document's keys
-    rows = store.keep(named.join(sizes.select("key", "blocks"), "key"), "open").join(sets, "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "id", "n", "many", "c", "keys")
-    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second").mapInArrow(_cells, "x long, y long")
-    # pairs that need rare keys too: they are among those counted by these
-    many = often.groupBy("id").agg(F.countDistinct("key").alias("c"))
-    part = small.where("shared < rare").select("x", "y", "all", "shared")
-    for c in "xy":
-        part = part.join(many.select(F.col("id").alias(f"i{c}"), F.col("c").alias(f"c{c}")), F.col(c) == F.col(f"i{c}"))
-    part = part.where("shared + least(cx, cy) >= all").select("x", "y", "all", "shared")
-    for c in "xy":
-        part = part.join(sets.select(F.col("id").alias(f"i{c}"), F.col("keys").alias(f"k{c}")), F.col(c) == F.col(f"i{c}"))
-    helped = part.where(F.col("shared") + F.size(F.array_intersect("kx", "ky")) >= F.col("all")).select("x", "y")
-    met = store.keep(cells.distinct(), "met")
-    more = store.keep(in_reps(met.unionByName(helped)).join(pairs, ["a", "b"], "left_anti"), "more")
-    return _checked(more, docs, store).where("linked").select("a", "b")
+def _rest(used: DataFrame, units: DataFrame, comp: DataFrame, store: Store) -> DataFrame:
+    """Pairs (x, y) of documents with a key in common, in different components so far, whose bit sketches are within
+    the bound. Documents of a key are split into blocks; each pair of blocks is a cell."""
+    named = used.join(comp.select(F.col("id").alias("__i"), "component"), F.col("code") == F.col("__i"), "left").withColumn("c", F.coalesce("component", "code")).drop("__i", "component")
+    members = [F.bit_xor(F.xxhash64("code", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    groups = named.groupBy("key", "top").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"), F.min("guest").alias("all_guests"), *members)
+    groups = groups.where("low <> high and not all_guests").groupBy("top", "size", "m0", "m1").agg(F.min("key").alias("key"))
+    groups = groups.select("key", F.ceil(F.col("size") / CELL).cast("int").alias("blocks"))
+    rows = named.join(groups, "key").join(units.select("code", "top", "parity"), ["code", "top"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("code"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "code", "n", "c", "guest", "parity")
+    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second")
+    return store.keep(cells.mapInArrow(_cells, "x long, y long").distinct(), "rest")
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a cell in different components that have as many common keys as they need in all."""
+    """Pairs of a cell in different components whose bit sketches are within the bound."""
 
     def stream():
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(8)]
-            keys = b.column(8)
+            bits = b.column(8)
             for i, row in enumerate(zip(*cols, strict=True)):
-                yield row, keys[i].values.to_numpy()
+                yield row, bits[i].values.to_numpy()
 
     for (_, i, j), cell in itertools.groupby(stream(), key=lambda r: r[0][:3]):
         cell = list(cell)  # two blocks at most
-        ids, n, many, c = (np.array([r[0][k] for r in cell], np.int64) for k in (4, 5, 6, 7))
-        every, at = np.unique(np.concatenate([r[1] for r in cell]), return_inverse=True)
-        has = np.zeros((len(cell), len(every)), np.float32)
-        has[np.repeat(np.arange(len(cell)), [len(r[1]) for r in cell]), at] = 1
+        code, n, c, guest = (np.array([r[0][k] for r in cell]) for k in (4, 5, 6, 7))
         split = sum(not r[0][3] for r in cell) if i != j else 0
-        a, b = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
         if i != j and split in (0, len(cell)):
             continue
-        common = (has[a] @ has[b].T).astype(np.int64)
-        lack = np.minimum.outer(many[a], many[b]) - np.add.outer(n[a], n[b]) // 7 - common
-        low, high = np.minimum.outer(n[a], n[b]), np.maximum.outer(n[a], n[b])
-        x, y = np.nonzero(np.not_equal.outer(c[a], c[b]) & (4 * low >= 3 * high) & (lack <= 0))
-        x, y = ids[a][x], ids[b][y]
-        once = x < y if not split else x != y
-        x, y = x[once], y[once]
-        if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+        bits = np.stack([r[1] for r in cell]).view(np.uint64)  # of signed numbers numpy would count the absolute values
+        a, b = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+        fits = np.not_equal.outer(c[a], c[b]) & ~np.logical_and.outer(guest[a], guest[b])
+        fits &= 4 * np.minimum.outer(n[a], n[b]) >= 3 * np.maximum.outer(n[a], n[b])
+        x, y = np.nonzero(fits if split else np.triu(fits, 1))
+        y += split
+        step = max(1, (1 << 21) // bits.shape[1])
+        for low in range(0, len(x), step):
+            p, q = x[low : low + step], y[low : low + step]
+            near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1) <= (n[p] + n[q]) // 7
+            p, q = code[p[near]], code[q[near]]
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["x", "y"])
 
 
 def joined(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -104,12 +104,17 @@ def test_ngram_join_equals_brute_force(spark, store):
 
 
 def test_ngram_join_with_rare_paths(spark, store, monkeypatch):
-    """Keys of few documents count as common, chunks and slices are small, nothing is broadcast."""
-    for name, value in (("COMMON", 3), ("LOCAL", 2), ("CHUNK", 2), ("SLICE_CHARS", 3000), ("BUCKET_BYTES", 5000), ("MOST_BROADCAST", 0)):
+    """Slices, buckets and cells are small, nothing is broadcast, no pair is met by a star; then classes are crowded."""
+    for name, value in (("CELL", 3), ("SLICE_CHARS", 3000), ("SLICE_ROWS", 7), ("BUCKET_BYTES", 5000), ("MOST_BROADCAST", 0)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = corpus(3)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, ngram_join.joined(df, store).collect())) == near(rows)
+    monkeypatch.setattr(ngram_join, "_within", lambda pairs, units: pairs.select("x", "y").where("false"))
+    assert sorted(map(tuple, ngram_join.joined(df, store).collect())) == near(rows)
+    monkeypatch.undo()
+    monkeypatch.setattr(ngram_join, "PER_WORD", 8)
+    assert sorted(map(tuple, ngram_join.joined(df, store).collect())) == near(rows)
 
 
 def test_ngram_join_odd_rows(spark, store, odd):
@@ -123,25 +128,22 @@ def test_ngram_join_odd_rows(spark, store, odd):
     assert ngram_join.joined(odd.limit(0), store).count() == 0
 
 
-def test_ngram_join_repeated_ids_with_other_texts(spark, store, monkeypatch):
+def test_ngram_join_repeated_ids_with_other_texts(spark, store):
     """An id whose one text equals another document's and whose other text links elsewhere has both links."""
     rng = random.Random(6)
     a, b, c = (words(rng, 20) for _ in range(3))
     rows = [(1, a), (5, a), (5, b), (7, [*b[:-1], "new"]), (2, b[::-1]), (8, a[::-1]), (8, b[::-1]), (8, c), (9, [*c[:-1], "new"]), (3, c[::-1])]
     rows = [(i, " ".join(t)) for i, t in rows]
     many = [(i if rng.random() > 0.03 else rng.randrange(200), t) for i, t in corpus(7)]
-    for name, value in ((None, None), ("COMMON", 3)):
-        if name:
-            monkeypatch.setattr(ngram_join, name, value)
-        for some in (rows, rows[::-1], many):
-            df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
-            assert sorted(map(tuple, ngram_join.joined(df, store).collect())) == near(some)
-        got = {r.doc_id: r.component_id for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), store).collect()}
-        assert got == {1: 1, 5: 1, 7: 1, 2: 2, 8: 2, 9: 2, 3: 3}
+    for some in (rows, rows[::-1], many):
+        df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+        assert sorted(map(tuple, ngram_join.joined(df, store).collect())) == near(some)
+    got = {r.doc_id: r.component_id for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), store).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 2: 2, 8: 2, 9: 2, 3: 3}
 
 
 def test_bound_of_sketches():
-    """Sets that link share all of their keys but the bound."""
+    """Sets that link share all of their words but the bound, and their bits differ within it."""
     rng = np.random.default_rng(0)
     for n in (5, 20, 64, 65, 100, 128, 129, 400):
         a = np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
@@ -150,9 +152,11 @@ def test_bound_of_sketches():
             b = np.unique(np.append(rng.permutation(a)[drop:], rng.integers(0, 2**64 - 1, drop, dtype=np.uint64)))
             both = len(np.intersect1d(a, b))
             if 100 * both >= 75 * (len(a) + len(b) - both):
-                keys, unit, doc, many, _ = ngram_join.keys(np.concatenate([a, b]), np.array([len(a), len(b)]))
+                keys, unit, doc, many, _, top = ngram_join.keys(np.concatenate([a, b]), np.array([len(a), len(b)]))
                 common = np.intersect1d(keys[doc[unit] == 0], keys[doc[unit] == 1])
                 assert len(common) >= many.min() - (len(a) + len(b)) // 7 > 0
+                p, q = (ngram_join.parities(x, int(top.max())) for x in (a, b))
+                assert np.bitwise_count(p ^ q).sum() <= len(a) + len(b) - 2 * both <= (len(a) + len(b)) // 7
 
 
 def cosine_links(rows):
