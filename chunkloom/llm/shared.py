@@ -1,13 +1,17 @@
 """What several operators of this subpackage need: written tables that cut lineage, ASCII folding, components.
 
 Tables are written to the shared folder that ``spark.checkpoint.dir`` names, so a lost executor costs only the
-tasks it ran. Only where that setting is missing (tests on one machine) a folder of our own is used.
+tasks it ran. Where that setting is missing, a folder of our own is used if Spark runs on this machine alone, as in
+tests; on a cluster that is an error, as its machines do not share such a folder.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only if the session names no shared folder.
+#: Used only if the session names no shared folder and has no machine but this one.
 LOCAL_FOLDER = "/tmp/checkpoints/chunkloom"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,7 +27,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or LOCAL_FOLDER).rstrip("/")
+    if named := spark.conf.get("spark.checkpoint.dir", ""):
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_FOLDER
 
 
 _held: list[tuple[str, Callable]] = []
@@ -42,10 +50,15 @@ def enter(name: str, clear: Callable = lambda: None) -> None:
 
 
 class Store:
-    """Tables written below the shared folder under one fresh name; ``drop`` removes those no longer read."""
+    """Tables written below the shared folder under one fresh name.
+
+    ``drop`` removes those no longer read, ``clear`` all of them; results read some until they are done with, so what
+    is left goes when Python ends, if the session still runs.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        atexit.register(self.clear)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -62,9 +75,19 @@ class Store:
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             if path := getattr(t, "_store_path", None):
-                jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                self._remove(path)
+
+    def clear(self) -> None:
+        """Removes all tables; without a running session does nothing."""
+        atexit.unregister(self.clear)
+        if self.spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the session may be ending
+                self._remove(self.root)
+
+    def _remove(self, path: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

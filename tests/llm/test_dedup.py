@@ -6,7 +6,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 from llm_words import words
+from pyspark.sql import functions as F
 
 from chunkloom.llm import embedding_dedup, exact_dedup, ngram_join
 
@@ -51,15 +53,15 @@ def test_exact_digests(spark, store, odd):
     got = sorted(map(tuple, exact_dedup.digests(odd, store).collect()), key=str)
     assert got == exact(rows)
     # a filter far too small only lets more rows shuffle
-    exact_dedup.MIN_BITS, before = 64, exact_dedup.MIN_BITS
-    try:
-        assert sorted(map(tuple, exact_dedup.digests(odd, store, max_bits=64).collect()), key=str) == exact(rows)
-    finally:
-        exact_dedup.MIN_BITS = before
+    assert sorted(map(tuple, exact_dedup.digests(odd, store, bits=64).collect()), key=str) == exact(rows)
     assert exact_dedup.digests(odd.limit(0), store).count() == 0
 
 
-def test_exact_rows_that_stay(spark, store, odd):
+@pytest.mark.parametrize("most", [exact_dedup.MOST_BROADCAST, 0])
+def test_exact_rows_that_stay(spark, store, odd, monkeypatch, most):
+    """With the filter broadcast, and met by a shuffle."""
+    monkeypatch.setattr(exact_dedup, "MOST_BROADCAST", most)
+    assert sorted(map(tuple, exact_dedup.digests(odd, store).collect()), key=str) == exact([(r.doc_id, r.text) for r in odd.collect()])
     out = exact_dedup.unique(odd, store)
     assert out.columns == odd.columns
     texts = [(r.text or "").translate(FOLD) for r in out.collect()]
@@ -68,6 +70,22 @@ def test_exact_rows_that_stay(spark, store, odd):
     assert kept["a b"] == 6 and kept[" "] == 2
 
 
+def test_exact_filter_passes_most_unrepeated_rows(spark, store):
+    """Rows of repeated texts are all marked; of the others about one in 1 / BITS is."""
+    table = spark.range(200_000).selectExpr("id", "xxhash64(if(id < 1000, 'same', cast(id as string))) as hash")
+    words, bits = exact_dedup.filtered(table, store)
+    found = exact_dedup.probed(table, words, bits).groupBy(F.expr("id < 1000").alias("repeated")).agg(F.avg(F.col("__again").cast("int")).alias("share")).collect()
+    share = {r.repeated: r.share for r in found}
+    assert share[True] == 1 and share[False] < 2 / exact_dedup.BITS
+
+
+def test_exact_very_long_texts(spark, store):
+    rows = [(1, "Ab " * 700_000), (2, "aB " * 700_000), (3, "ab " * 700_000 + "."), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.digests(df, store).collect())) == exact(rows)
+    assert sorted(r.doc_id for r in exact_dedup.unique(df, store).select("doc_id").collect()) == [2, 3, 4]
+
+
 def test_exact_hot_group(spark, store):
     df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'Same', concat('t', id)) as text")
     out = {r.doc_id: r for r in exact_dedup.digests(df, store).collect()}
