@@ -12,7 +12,8 @@ The prefix sum needs no source in one task: rows are range-partitioned by (sourc
 partitions, and the numbers at which partitions start come from a table of one row per partition and source.
 
 Defined cases: a null text has size 0; null is a source of its own, last in order; a source without words has
-target 0; repeated rows count each; an empty table gives an empty result. Equal seeds give equal results.
+target 0; repeated rows count each; an empty table gives an empty result. Equal seeds give equal results. The rows of
+one source, but not of one document, are in many tasks; sources themselves are ordered in one, a row for each.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .shared import Store
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3.0
 ROWS_PER_TASK = 500_000
-DRAWS = 8
+ROUNDS = 3
 
 
 def targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
@@ -48,20 +49,30 @@ def targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
     return per.select("source", "source_size", "n_docs", "target")
 
 
+def _keys(id_col: str, text_col: str, source_col: str) -> list:
+    """Two hashes that tell a row by id, source and text."""
+    parts = [x for c in (id_col, source_col, text_col) for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(i), *parts).alias(f"__k{i}") for i in range(2)]
+
+
+def _offset(seed: int):
+    """The random offset of a source, from 0 to 1."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def plan(docs: DataFrame, store: Store, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken (and key, a hash of the text)."""
-    text = F.col(text_col)
+    """One row per document: doc_id, source, size, source_size, target, copies, taken (and two hashes of the row)."""
     rows = store.keep(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(text).alias("key"),
+            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            *_keys(id_col, text_col, source_col),
         ),
         "sizes",
     )
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_PER_TASK + 1)
-    by = [F.col("source").asc_nulls_last(), "size", "doc_id", "key"]
+    by = [F.col("source").asc_nulls_last(), "size", "doc_id", "__k0"]
     ranged = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
     ranged = ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
     ranged = store.keep(ranged, "ranged")
@@ -74,29 +85,49 @@ def plan(docs: DataFrame, store: Store, seed: int = 0, id_col: str = "doc_id", t
     share = targets(ranged).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     placed = ranged.join(starts, F.expr("source <=> s and part = p")).withColumn("place", F.col("at") - F.col("first") + F.col("base"))
     placed = placed.drop("s", "p").join(share.withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s")
-
-    def crossed(offset):
-        return F.floor((F.col("place") + 1) * F.col("rate") + offset) - F.floor(F.col("place") * F.col("rate") + offset)
-
-    draws = [F.pmod(F.xxhash64(F.lit(i), F.lit(seed), F.col("source")), F.lit(1 << 40)) / F.lit(float(1 << 40)) for i in range(DRAWS)]
-    off = F.array(*[F.struct(F.abs(F.sum(crossed(x) * F.col("size")) - F.first("target")), F.first(x)) for x in draws])
-    best = placed.groupBy(F.col("source").alias("s")).agg(F.array_min(off)["col2"].alias("offset"))
-    out = placed.join(best, F.expr("source <=> s")).withColumn("copies", crossed(F.col("offset")).cast("long"))
-    out = out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "key")
+    own = _offset(seed)
+    crossed = F.floor((F.col("place") + 1) * F.col("rate") + own) - F.floor(F.col("place") * F.col("rate") + own)
+    out = store.keep(placed.select("at", "doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"), "__k0", "__k1"), "copies")
+    store.drop(ranged)
+    changes: list[DataFrame] = []
+    for _ in range(ROUNDS):
+        changes.append(store.keep(_nearer(_changed(out, changes)), "change"))
+    out = _changed(out, changes)
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("at")
+
+
+def _changed(rows: DataFrame, changes: list[DataFrame]) -> DataFrame:
+    """``rows`` with copies as ``changes(__at, __by)`` have them; a change is of one row of a source."""
+    if not changes:
+        return rows
+    every = changes[0]
+    for c in changes[1:]:
+        every = every.unionByName(c)
+    every = every.groupBy("__at").agg(F.sum("__by").alias("__by"))
+    return rows.join(every, F.col("at") == F.col("__at"), "left").withColumn("copies", F.col("copies") + F.coalesce("__by", F.lit(0))).drop("__at", "__by")
+
+
+def _nearer(rows: DataFrame, most: float = MOST) -> DataFrame:
+    """Of each source the row whose copies are best changed by one: (__at, __by)."""
+    off = rows.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
+    near = rows.join(off, F.expr("source <=> s")).withColumn("far", F.abs(F.abs("off") - F.col("size")))
+    near = near.where((F.col("far") < F.abs("off")) & F.expr(f"if(off > 0, copies + 1 <= {most}, copies > 0)"))
+    best = near.groupBy("source").agg(F.min(F.struct("far", "at", "off")).alias("b"))
+    return best.select(F.col("b.at").alias("__at"), F.expr("if(b.off > 0, 1, -1)").alias("__by"))
 
 
 def mixed(docs: DataFrame, store: Store, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with its columns.
 
-    Rows that repeat id, source and text share their copies evenly, what doesn't divide going to one of them.
+    Rows that repeat id, source and text share their copies evenly, what doesn't divide going to one of them. Texts
+    are joined to their copies once; a second time only those of such rows, if there are any.
     """
     made = plan(docs, store, seed, id_col, text_col, source_col)
-    key = made.groupBy("doc_id", "source", "key").agg(F.sum("copies").alias("__all"), F.count("*").alias("__m"))
-    key = key.select(F.col("doc_id").alias("__i"), F.col("source").alias("__o"), F.col("key").alias("__k"), "__all", "__m")
-    hashed = docs.withColumn("__h", F.xxhash64(text_col))
-    on = F.expr(f"`{id_col}` <=> __i and cast(`{source_col}` as string) <=> __o and __h = __k")
-    each = hashed.join(key.where("__all >= __m"), on).withColumn("__n", F.expr("__all div __m"))
-    rest = hashed.join(key.where("__all % __m > 0"), on).dropDuplicates(["__i", "__o", "__k"]).withColumn("__n", F.expr("__all % __m"))
-    emit = lambda x: x.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
-    return emit(each).unionByName(emit(rest))
+    key = made.groupBy("__k0", "__k1").agg(F.sum("copies").alias("__all"), F.count("*").alias("__m"))
+    key = store.keep(key.where("__all > 0").select(F.col("__k0").alias("__a"), F.col("__k1").alias("__b"), F.expr("__all div __m").alias("__n"), F.expr("__all % __m").alias("__more")), "shares")
+    hashed = docs.select("*", *_keys(id_col, text_col, source_col))
+    on = F.expr("__k0 = __a and __k1 = __b")
+    emit = lambda x, n: x.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
+    out = emit(hashed.join(key.where("__n > 0"), on), "__n")
+    over = key.where("__more > 0")
+    return out if over.isEmpty() else out.unionByName(emit(hashed.join(over, on).dropDuplicates(["__a", "__b"]), "__more"))

@@ -94,6 +94,24 @@ def water(sizes):
         capped |= over
 
 
+def test_mix_is_near_in_sources_of_few_documents(spark, store):
+    rng = random.Random(4)
+    rows = [(i, " ".join("w" * int(rng.lognormvariate(5, 1))), f"s{i % 12}") for i in range(120)]
+    got = source_mix.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), store).toPandas()
+    per = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((per["taken"] - per["target"]).abs() <= 0.05 * per["target"]).all()
+
+
+def test_mix_offset_is_one_draw(spark, store, monkeypatch):
+    """Without changes of single documents, copies are what one offset of the source gives."""
+    monkeypatch.setattr(source_mix, "ROUNDS", 0)
+    df = spark.createDataFrame([(i, "w " * (i % 7 + 1), "ab"[i % 3 % 2]) for i in range(300)], "doc_id long, text string, source string")
+    got = source_mix.plan(df, store).toPandas()
+    for _, x in got.groupby("source"):
+        rate = x["target"].iloc[0] / x["source_size"].iloc[0]
+        assert abs(x["copies"].sum() - len(x) * rate) < 1 and x["copies"].isin([int(rate), int(rate) + 1]).all()
+
+
 def test_mix(spark, store, odd):
     rng = random.Random(1)
     rows = [(i, " ".join("w" * rng.randint(1, 60)) or None, rng.choice(["a", "b", "ß", None, "c" if i % 50 == 0 else "big"])) for i in range(900)]
@@ -109,6 +127,7 @@ def test_mix(spark, store, odd):
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.copies <= 3 and r.taken == r.copies * r.size
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= max(60, 0.02 * want[s]) for s in want)
+    assert all(abs(taken[s] - want[s]) <= 3 for s in want if sizes[s])  # changes of single documents come nearer than sampling
     again = source_mix.plan(df.repartition(2), store)
     assert sorted(map(str, again.collect())) == sorted(map(str, got))
     out = source_mix.mixed(df, store)
