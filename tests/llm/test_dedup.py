@@ -218,6 +218,39 @@ def test_embeddings_hot_group_is_exact(spark, store, monkeypatch):
     assert got == cosine_links(rows)
 
 
+def test_embeddings_equal_vectors_are_one_node(spark, store):
+    """However many rows hold one vector, cells have it once; links count its rows."""
+    rows = vectors(3, [0.02])
+    many = [*rows, *((1000 + i, rows[5][1]) for i in range(2000))]
+    df = spark.createDataFrame(many, "vec_id long, embedding array<float>").repartition(4)
+    units = embedding_dedup.nodes(df, store, 0.9, 0.98, 7, "vec_id", "embedding")[1]
+    assert units.count() == len(rows) and units.agg({"weight": "max"}).first()[0] == 2001
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_copies(df, store).collect()}
+    assert got == cosine_links(many)
+
+
+def test_embeddings_tables_stay_few():
+    """Tables grow slowly with the vectors, and each is likely to miss only what the recall allows."""
+    for n, most in ((2_000, 8), (50_000, 16), (10**6, 32), (10**8, 110), (10**9, 200)):
+        k, tables = embedding_dedup.shape(n)
+        near = embedding_dedup.met(0.2**0.5) ** k
+        assert tables <= most and (1 - near) ** tables <= 1 - embedding_dedup.RECALL
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_embeddings_recall_at_the_threshold(spark, store, n):
+    """Planted pairs with cosines from 0.9 to 0.92 among unrelated vectors."""
+    rng, rows = np.random.default_rng(n), []
+    for i in range(n):
+        a, b = rng.standard_normal((2, 64))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        c = rng.uniform(0.9001, 0.92)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + (1 - c * c) ** 0.5 * b / np.linalg.norm(b)).tolist())]
+    got = embedding_dedup.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), store).toPandas()
+    assert (got["n_links"] <= 1).all() and got["n_links"].sum() >= 0.95 * 2 * n
+
+
 def test_embeddings_odd_rows(spark, store):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0]), (9, [1e300, 0.0]), (None, [1.0, 0.0])]
