@@ -15,7 +15,7 @@ def best_cover(counts: DataFrame, colours: DataFrame, by: str, black: int, ref:
     """The candidate that covers most of a histogram with colours other than black; ties go to the least squared
     distance from ``ref``, then to the first candidate. Kept if it covers at least half of the total.
 
-    counts(by, bin, n), colours(ci, bin, colour): both are bounded by bins, colours is broadcast by size.
+    counts(by, bin, n), colours(ci, bin, colour): both are bounded by bins; Spark broadcasts by size.
     """
     met = counts.join(colours, "bin")
     sums = met.groupBy(by, "ci").agg(
@@ -36,5 +36,8 @@ def strided(df: DataFrame, by: list[str], place: str, value: str, names: list[st
 
 
 def checksum32(df: DataFrame, by: str, word) -> DataFrame:
-    """Sum of words modulo 2**32, by ``by``: sums of parts are reduced again, so it can't overflow."""
-    return df.groupBy(by).agg((F.sum(word.bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"))
+    """Sum of words modulo 2**32, by ``by``. Halves of words are summed apart, so up to 2**47 rows of a group can't
+    overflow."""
+    low, high = F.sum(word.bitwiseAND(F.lit(0xFFFF))), F.sum(F.shiftrightunsigned(word, 16).bitwiseAND(F.lit(0xFFFF)))
+    total = low + high.bitwiseAND(F.lit(0xFFFF)) * F.lit(1 << 16)
+    return df.groupBy(by).agg(total.bitwiseAND(F.lit(0xFFFFFFFF)).alias("s"))

@@ -46,11 +46,25 @@ def by_priority(parts: list[DataFrame], by: list[str], order: str) -> DataFrame:
 
 
 def next_of(df: DataFrame, by: str, order: str, where: Column) -> Column:
-    """The smallest later ``order`` of the same ``by`` among rows where ``where`` holds: a forward as-of lookup."""
-    after = Window.partitionBy(by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    """The smallest later ``order`` of the same ``by`` among rows where ``where`` holds: a forward as-of lookup.
+
+    Rows are read from the last on, so that the frame only grows and each row costs the same.
+    """
+    after = Window.partitionBy(by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     return F.min(F.when(where, F.col(order))).over(after)
 
 
+def descend(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(root, node, d): what is reached from ``start(root, node)`` over ``edges(parent, child)`` in up to ``depth``
+    steps, once for each way; each level is a join with the level before."""
+    level = start.select("root", "node", F.lit(0).alias("d"))
+    out = level
+    for d in range(1, depth + 1):
+        level = level.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), F.lit(d).alias("d"))
+        out = out.unionByName(level)
+    return out
+
+
 def top(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
     """At most n rows of each ``by``. Spark cuts each task to its own n before the shuffle."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")

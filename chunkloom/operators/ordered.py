@@ -1,7 +1,9 @@
 """Order-dependent operators over a whole table: positions, running sums, previous values, runs.
 
-A window without a partition would put every row into one task. Here rows are cut into ranges of an integer key;
-ranges are summed up first, the running totals of those few rows are taken, and each range continues from its own.
+A window without a partition would put every row into one task. Here rows are range-partitioned by their whole order,
+a tie-breaker included, so that no key's rows have to be in one task, and written with their partition and place. Then
+partitions are summed up, the running totals of those few rows are taken, and each partition continues from its own.
+Writing keeps both uses of the partitions alike, whatever is sampled for their bounds.
 """
 
 from __future__ import annotations
@@ -9,56 +11,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys in a range. Rows of a range are ordered in one task.
-WIDTH = 1 << 20
+from chunkloom.operators.written import written
 
+#: Rows of a partition, about. They are ordered in one task.
+ROWS = 1_000_000
 
-def _ranged(df: DataFrame, key: str, width: int) -> DataFrame:
-    return df.withColumn("__range", F.floor(F.coalesce(F.col(key), F.lit(-(1 << 62))) / F.lit(width)))
 
+class Ordered:
+    """The rows of a table in ``order``; methods add columns. ``table()`` has them."""
 
-def running_sum(df: DataFrame, key: str, order: list, value: Column, name: str, width: int = WIDTH) -> DataFrame:
-    """Adds the sum of ``value`` over the rows before each, in ``order``, whose first column is the integer ``key``."""
-    ranged = _ranged(df, key, width).withColumn("__value", value)
-    total = ranged.groupBy("__range").agg(F.sum("__value").alias("__sum"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    own = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(base, F.col("__range") == F.col("__r"))
-    return out.withColumn(name, F.col("__base") + F.coalesce(F.sum("__value").over(own), F.lit(0))).drop("__range", "__value", "__r", "__base")
+    def __init__(self, df: DataFrame, order: list, rows: int = ROWS):
+        parts = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // rows + 1)
+        by = [*order, "__tie"]
+        dealt = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("__tie")
+        dealt = dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+        self.rows = written(dealt, "ordered")
 
+    def table(self) -> DataFrame:
+        return self.rows.drop("__part", "__at")
 
-def positions(df: DataFrame, key: str, order: list, name: str = "pos", width: int = WIDTH) -> DataFrame:
+    def _joined(self, parts: DataFrame) -> DataFrame:
+        return self.rows.join(parts, F.col("__part") == F.col("__p")).drop("__p")
+
+    def positions(self, name: str = "pos") -> Ordered:
+        """Each row's position from 1."""
+        own = self.rows.groupBy("__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        own = own.select(F.col("__part").alias("__p"), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__base"))
+        self.rows = self._joined(own).withColumn(name, F.col("__at") + F.col("__base")).drop("__base")
+        return self
+
+    def running_sum(self, value: Column, name: str) -> Ordered:
+        """The sum of ``value`` over the rows before each."""
+        self.rows = self.rows.withColumn("__value", value)
+        own = self.rows.groupBy("__part").agg(F.sum("__value").alias("__sum"))
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        own = own.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+        here = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+        self.rows = self._joined(own).withColumn(name, F.col("__base") + F.coalesce(F.sum("__value").over(here), F.lit(0))).drop("__value", "__base")
+        return self
+
+    def previous(self, value: str, name: str) -> Ordered:
+        """The value of the row before, null for the first; values aren't null."""
+        last = self.rows.groupBy("__part").agg(F.max_by(value, "__at").alias("__last"))
+        last = last.select(F.col("__part").alias("__p"), F.lag("__last").over(Window.orderBy("__part")).alias("__before"))
+        here = Window.partitionBy("__part").orderBy("__at")
+        self.rows = self._joined(last).withColumn(name, F.coalesce(F.lag(value).over(here), F.col("__before"))).drop("__before")
+        return self
+
+
+def running_sum(df: DataFrame, order: list, value: Column, name: str, rows: int = ROWS) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before each, in ``order``."""
+    return Ordered(df, order, rows).running_sum(value, name).table()
+
+
+def positions(df: DataFrame, order: list, name: str = "pos", rows: int = ROWS) -> DataFrame:
     """Adds each row's position from 1."""
-    out = running_sum(df, key, order, F.lit(1).cast("long"), name, width)
-    return out.withColumn(name, F.col(name) + 1)
+    return Ordered(df, order, rows).positions(name).table()
 
 
-def previous(df: DataFrame, key: str, order: list, value: str, name: str, width: int = WIDTH) -> DataFrame:
+def previous(df: DataFrame, order: list, value: str, name: str, rows: int = ROWS) -> DataFrame:
     """Adds the value of the row before, null for the first; values aren't null."""
-    ranged = _ranged(df, key, width)
-    last = ranged.groupBy("__range").agg(F.max_by(value, F.struct(*order)).alias("__last"))
-    over = Window.orderBy("__range")
-    last = last.select(F.col("__range").alias("__r"), F.lag("__last").over(over).alias("__before"))
-    own = Window.partitionBy("__range").orderBy(*order)
-    out = ranged.join(last, F.col("__range") == F.col("__r"))
-    return out.withColumn(name, F.coalesce(F.lag(value).over(own), F.col("__before"))).drop("__range", "__r", "__before")
+    return Ordered(df, order, rows).previous(value, name).table()
 
 
-def islands(df: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
+def islands(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
     """Runs of consecutive integers among distinct ``key``: s, e, n."""
-    placed = positions(df.select(key), key, [key], "__pos", width)
+    placed = positions(df.select(key), [key], "__pos", rows)
     return placed.groupBy((F.col(key) - F.col("__pos")).alias("__g")).agg(F.min(key).alias("s"), F.max(key).alias("e"), F.count("*").alias("n")).drop("__g")
 
 
-def runs(df: DataFrame, key: str, value: str, width: int = WIDTH) -> DataFrame:
-    """Run-length encoding in order of a unique ``key``: first position, length n, value."""
-    placed = positions(df.select(key, value), key, [key], "__pos", width)
-    placed = previous(placed, key, [key], value, "__prev", width)
-    new = F.when(F.col(value).eqNullSafe(F.col("__prev")), 0).otherwise(1).cast("long")
-    numbered = running_sum(placed.withColumn("__new", new), key, [key], F.col("__new"), "__run", width)
-    run = F.col("__run") + F.col("__new")
-    return numbered.groupBy(run.alias("__id")).agg(F.min("__pos").alias("first"), F.count("*").alias("n"), F.first(value).alias(value)).drop("__id")
+def numbered_runs(df: DataFrame, order: list, value: str, rows: int = ROWS) -> DataFrame:
+    """Adds ``pos`` from 1 and ``run``, the number of the run of equal values that the row is in."""
+    own = Ordered(df, order, rows).positions("pos").previous(value, "__prev")
+    new = F.when(F.col(value).eqNullSafe(F.col("__prev")) & (F.col("pos") > 1), 0).otherwise(1).cast("long")
+    return own.running_sum(new, "run").table().withColumn("run", F.col("run") + new).drop("__prev")
+
+
+def runs(df: DataFrame, order: list, value: str, rows: int = ROWS) -> DataFrame:
+    """Run-length encoding in ``order``: first position, length n, value."""
+    numbered = numbered_runs(df, order, value, rows)
+    return numbered.groupBy("run").agg(F.min("pos").alias("first"), F.count("*").alias("n"), F.first(value).alias(value)).drop("run")
 
 
 def unrun(encoded: DataFrame, value: str) -> DataFrame:

@@ -91,7 +91,7 @@ def link_first_wins(t):
 
 @query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) + 99 AS num FROM conversations")
 def ordinal_number_map(t):
-    placed = ordered.positions(t("conversations").select("conv_id", "turn"), "conv_id", ["conv_id", "turn"], "pos")
+    placed = ordered.positions(t("conversations").select("conv_id", "turn"), ["conv_id", "turn"], "pos")
     return placed.select("conv_id", "turn", (F.col("pos") + 99).alias("num"))
 
 
@@ -113,8 +113,8 @@ def fallback_chain(t):
        LEFT JOIN (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) AS p FROM labels) l USING (p)"""
 )
 def positional_zip(t):
-    a = ordered.positions(t("documents").select("doc_id"), "doc_id", ["doc_id"])
-    b = ordered.positions(t("labels").select("doc_id", "quality"), "doc_id", ["doc_id"]).select("pos", F.col("doc_id").alias("lid"), "quality")
+    a = ordered.positions(t("documents").select("doc_id"), ["doc_id"])
+    b = ordered.positions(t("labels").select("doc_id", "quality"), ["doc_id"]).select("pos", F.col("doc_id").alias("lid"), "quality")
     return a.join(b, "pos", "left").select("doc_id", "lid", "quality")
 
 
@@ -199,7 +199,7 @@ def coverage_argmax(t):
     counts = groups.histogram(t("embeddings"), ["label"], "embedding", _bin).withColumnRenamed("label", "pid")
     bins = counts.select("bin").distinct().withColumn("one", F.lit(1))
     ci = t("nation").select(F.col("n_nationkey").alias("ci"), F.lit(1).alias("one"))
-    colours = bins.join(F.broadcast(ci), "one").select("ci", "bin", ((7 * F.col("ci") + 13 * F.col("bin")) % 5).alias("colour"))
+    colours = bins.join(ci, "one").select("ci", "bin", ((7 * F.col("ci") + 13 * F.col("bin")) % 5).alias("colour"))
     return groups.best_cover(counts, colours, "pid", 0, 2)
 
 
@@ -255,7 +255,7 @@ def running_offset(t):
     """Where each item starts if all are laid end to end."""
     by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     rows = t("lineitem").select(*by, "l_quantity")
-    return ordered.running_sum(rows, "l_orderkey", by, F.col("l_quantity"), "off").select("l_orderkey", "l_linenumber", "l_partkey", F.col("off").cast("double").alias("off"))
+    return ordered.running_sum(rows, by, F.col("l_quantity"), "off").select("l_orderkey", "l_linenumber", "l_partkey", F.col("off").cast("double").alias("off"))
 
 
 @query("SELECT conv_id, turn, lead(turn, 1, 100) OVER (PARTITION BY conv_id ORDER BY turn) - turn AS len FROM conversations")
@@ -290,9 +290,9 @@ def reset_running_sum(t):
 @query("SELECT event_id AS id, event_type FROM events")
 def rle_roundtrip(t):
     """Runs of equal types, expanded again: the input."""
-    rows = t("events").select("event_id", "event_type")
-    places = ordered.positions(rows.select("event_id"), "event_id", ["event_id"])
-    return ordered.unrun(ordered.runs(rows, "event_id", "event_type"), "event_type").join(places, "pos").select(F.col("event_id").alias("id"), "event_type")
+    rows = ordered.numbered_runs(t("events").select("event_id", "event_type"), ["event_id"], "event_type")
+    encoded = rows.groupBy("run").agg(F.min("pos").alias("first"), F.count("*").alias("n"), F.first("event_type").alias("event_type"))
+    return ordered.unrun(encoded, "event_type").join(rows.select("pos", "event_id"), "pos").select(F.col("event_id").alias("id"), "event_type")
 
 
 @query(
@@ -301,10 +301,11 @@ def rle_roundtrip(t):
        SELECT root, max(d) AS d, count(*) AS n FROM r GROUP BY root"""
 )
 def bounded_recursion(t):
-    """Compound parts of parts, to a bounded depth. Each level is a step of the plan, not of the driver."""
-    level = t("nation").select(F.col("n_nationkey").alias("root"), F.col("n_nationkey").alias("node"), F.lit(0).alias("d"))
-    steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct(i.alias("d"), (((F.col("node") + 1) * F.pow(F.lit(2), i)) - 1).cast("int").alias("node"))), lambda s: (s["d"] == 0) | (s["node"] < 25))
-    return level.select("root", F.explode(steps).alias("s")).groupBy("root").agg(F.max("s.d").alias("d"), F.count("*").alias("n"))
+    """Compound parts of parts, to a bounded depth, a join for each level."""
+    nodes = t("nation").select(F.col("n_nationkey").alias("node"))
+    edges = nodes.select(F.col("node").alias("parent"), (2 * F.col("node") + 1).alias("child")).where("child < 25")
+    found = links.descend(nodes.select(F.col("node").alias("root"), "node"), edges, 8)
+    return found.groupBy("root").agg(F.max("d").alias("d"), F.count("*").alias("n"))
 
 
 # --- scalars and generators ---------------------------------------------------------------------------------------
@@ -321,9 +322,9 @@ def newline_norm(t):
     return t("documents").select("doc_id", F.regexp_replace(crlf, "\r\n?", "|").alias("s"))
 
 
-@query("SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 4, '0') || '_' || lower(p_brand) AS s FROM part WHERE p_partkey < 10000")
+@query("SELECT p_partkey, printf('%04d', p_partkey) || '_' || lower(p_brand) AS s FROM part")
 def padded_name(t):
-    return t("part").where("p_partkey < 10000").select("p_partkey", text.padded(F.col("p_partkey"), F.lower("p_brand")).alias("s"))
+    return t("part").select("p_partkey", text.padded(F.col("p_partkey"), F.lower("p_brand")).alias("s"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(((l_linenumber % 4) * 255 + 1) // 3 AS BIGINT) AS s FROM lineitem")
