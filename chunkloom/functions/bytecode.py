@@ -9,10 +9,11 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
+from chunkloom.functions import properties
 from chunkloom.functions.bytes import Truncated, mac_roman
 from chunkloom.functions.records import float80
 
-#: Names of operations by code. From 0x40 on a code stands for itself plus any multiple of 0x40, which widens its argument.
+#: Fixed values of the format: names of operations by code. From 0x40 on a code stands for itself plus any multiple of 0x40, which widens its argument.
 OPERATIONS = {
     0x01: "ret", 0x02: "retFactory", 0x03: "pushZero", 0x04: "mul", 0x05: "add", 0x06: "sub", 0x07: "div", 0x08: "mod",
     0x09: "inv", 0x0A: "joinStr", 0x0B: "joinPadStr", 0x0C: "lt", 0x0D: "ltEq", 0x0E: "ntEq", 0x0F: "eq", 0x10: "gt",
@@ -168,9 +169,10 @@ class Expr:
 class Writer:
     """Text of one script's handlers."""
 
-    def __init__(self, s: Script, names: list[str], version: int = 1000):
-        self.script, self.names, self.dots = s, names, version >= 700
-        self.step = 1 if version >= 850 else 8 if version >= 500 else 6
+    def __init__(self, s: Script, names: list[str], version: int = 1000, wide: bool = True):
+        self.script, self.names, self.version, self.dots = s, names, version, version >= 700
+        # variables and literals are counted in bytes where handler rows are narrow
+        self.step = 1 if wide else 8 if version >= 500 else 6
 
     def name(self, i: int) -> str:
         return self.names[i] if 0 <= i < len(self.names) else f"#{i}"
@@ -351,7 +353,7 @@ class Writer:
         elif x.op in ("getGlobal", "getGlobal2", "getProp", "getParam", "getLocal"):
             stack.append(Expr(self.variable(x)))
         elif x.op in self.GETS:
-            out.append(f"{self.variable(Instruction(0, self.GETS[x.op], 0, x.arg))} = {self.pop(stack).text}")
+            out.append(self._assigned(self.variable(Instruction(0, self.GETS[x.op], 0, x.arg)), self.pop(stack).text))
         elif x.op in ("pushInt8", "pushInt16", "pushInt32"):
             stack.append(Expr(str(x.arg), 0, None, False, x.arg))
         else:
@@ -452,7 +454,7 @@ class Writer:
         stack.append(Expr(f"the {self.name(x.arg)}"))
 
     def do_setMovieProp(self, x, stack, out):
-        out.append(f"the {self.name(x.arg)} = {self.pop(stack).text}")
+        out.append(self._assigned(f"the {self.name(x.arg)}", self.pop(stack).text))
 
     def do_theBuiltin(self, x, stack, out):
         self.pop(stack)
@@ -468,7 +470,7 @@ class Writer:
 
     def do_setObjProp(self, x, stack, out):
         value, of = self.pop(stack), self.pop(stack)
-        out.append(f"{self._of(of, self.name(x.arg))} = {value.text}")
+        out.append(self._assigned(self._of(of, self.name(x.arg)), value.text))
 
     def do_getTopLevelProp(self, x, stack, out):
         stack.append(Expr(self.name(x.arg)))
@@ -496,22 +498,95 @@ class Writer:
         of = self.pop(stack).text
         stack.append(Expr(self._chunk(stack, of)))
 
+    def _assigned(self, target: str, value: str, old: bool = False) -> str:
+        return f"set {target} to {value}" if old or not self.dots else f"{target} = {value}"
+
+    def _member(self, kind: str, number: Expr, library: Expr | None, dots: bool) -> str:
+        if library is not None and library.value != 0:
+            return f"{kind}({number.text}, {library.text})"
+        return f"{kind}({number.text})" if dots else f"{kind} {self.within(number, 0)}"
+
+    def _target(self, kind: int, stack) -> str:
+        """What a text is put into: a variable by name or by its place, or a field."""
+        library = self.pop(stack) if kind == 6 and self.version >= 500 else None
+        at = self.pop(stack)
+        if kind in (4, 5):
+            place = at.value if isinstance(at.value, int) else 0
+            return self.variable(Instruction(0, "getParam" if kind == 4 else "getLocal", 0, place))
+        return self._member("field", at, library, False) if kind == 6 else at.text
+
+    def do_pushChunkVarRef(self, x, stack, out):
+        stack.append(Expr(self._target(x.arg, stack)))
+
     def do_hiliteChunk(self, x, stack, out):
-        of = self.pop(stack).text
-        out.append(f"hilite {self._chunk(stack, of)}")
+        library = self.pop(stack) if self.version >= 500 else None
+        out.append(f"hilite {self._chunk(stack, self._member('field', self.pop(stack), library, False))}")
 
     def do_put(self, x, stack, out):
-        of = self.pop(stack).text
-        out.append(f"put {self.pop(stack).text} {PUTS.get(x.arg >> 4 & 15, 'into')} {of}")
+        target = self._target(x.arg & 15, stack)
+        out.append(f"put {self.pop(stack).text} {PUTS.get(x.arg >> 4 & 15, 'into')} {target}")
 
     def do_putChunk(self, x, stack, out):
-        of = self.pop(stack).text
-        where = self._chunk(stack, of)
-        out.append(f"put {self.pop(stack).text} {PUTS.get(x.arg >> 4 & 15, 'into')} {where}")
+        target = self._chunk(stack, self._target(x.arg & 15, stack))
+        out.append(f"put {self.pop(stack).text} {PUTS.get(x.arg >> 4 & 15, 'into')} {target}")
 
     def do_deleteChunk(self, x, stack, out):
-        of = self.pop(stack).text
-        out.append(f"delete {self._chunk(stack, of)}")
+        out.append(f"delete {self._chunk(stack, self._target(x.arg, stack))}")
+
+    def _numbered(self, kind: int, number: int, stack) -> str | None:
+        """The property that old versions name by two numbers; None if there is no such kind."""
+        part = lambda i: CHUNKS[i - 1] if 0 < i <= len(CHUNKS) else "ERROR"
+        named, of = properties.named, lambda: self.pop(stack).text
+        if kind == 0:
+            return f"the {named(properties.MOVIE, number)}" if number < 12 else f"the last {part(number - 11)} in {of()}"
+        if kind == 1:
+            return f"the number of {part(number)}s in {of()}"
+        if kind == 3:
+            menu = of()
+            return f"the {named(properties.MENU_ITEM, number)} of menuItem {of()} of menu {menu}"
+        if kind in (2, 4, 6):
+            table, what = {2: (properties.MENU, "menu"), 4: (properties.SOUND, "sound"), 6: (properties.SPRITE, "sprite")}[kind]
+            return f"the {named(table, number)} of {what} {of()}"
+        if kind == 7:
+            return f"the {named(properties.ANIMATION, number)}"
+        if kind == 8:
+            name = named(properties.COUNTS, number)
+            library = self.pop(stack) if number == 2 and self.version >= 500 else None
+            return f"the {name}" if library is None or library.value == 0 else f"the {name} of {self._member('castLib', library, None, False)}"
+        if 9 <= kind <= 0x15:
+            library = self.pop(stack) if self.version >= 500 else None
+            what = {0x0B: "field", 0x0C: "field", 0x14: "script", 0x15: "script"}.get(kind, "member" if library is not None else "cast")
+            target = self._member(what, self.pop(stack), library, False)
+            if kind in (0x0A, 0x0C, 0x15):
+                target = self._chunk(stack, target)
+            return f"the {named(properties.MEMBER, number)} of {target}"
+        return None
+
+    @staticmethod
+    def _number(e: Expr) -> int:
+        return e.value if isinstance(e.value, int) else 0
+
+    def do_get(self, x, stack, out):
+        found = self._numbered(x.arg, self._number(self.pop(stack)), stack)
+        if found is None:
+            out.append(f"-- ERROR: {'Resource property' if x.arg == 5 else f'Unknown property type {x.arg}'}")
+        else:
+            stack.append(Expr(found))
+
+    def do_set(self, x, stack, out):
+        number, value = self._number(self.pop(stack)), self.pop(stack)
+        said = value.value if isinstance(value.value, str) else ""
+        if x.arg == 0 and 1 <= number <= 5 and (said.startswith(" ") or "\r" in said):
+            lines = [line.lstrip() for line in said.split("\r")]
+            while lines and not lines[-1]:
+                lines.pop()
+            out.append(f"when {properties.named(properties.EVENTS, number)} then " + "\n  ".join(lines))
+            return
+        found = self._numbered(x.arg, number, stack)
+        if found is None:
+            out.append(f"-- ERROR: {'Resource property' if x.arg == 5 else f'Unknown property type {x.arg}'}")
+        else:
+            out.append(self._assigned(found, value.text, True))
 
     def do_startTell(self, x, stack, out):
         out.append(f"tell {self.pop(stack).text}")
@@ -537,5 +612,5 @@ class Writer:
         out.append(f"-- JavaScript: {first}")
 
 
-def text_of(s: Script, names: list[str], version: int = 1000) -> str:
-    return Writer(s, names, version).all()
+def text_of(s: Script, names: list[str], version: int = 1000, wide: bool = True) -> str:
+    return Writer(s, names, version, wide).all()

@@ -85,16 +85,17 @@ def written(project) -> DataFrame:
 
         for x in batches:
             rows = []
-            for file, base, data, names, version, member in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            for file, base, data, names, version, name, kind in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 try:
                     if data is None:
                         raise ValueError("no script chunk")
                     s = bytecode.script(data)
-                    head = f"-- {s.kind} script of member {member}\n\n"
+                    head = f"-- Cast member: {name or ''}\n-- Type: {kind or s.kind}\n\n"
                     rows.append((file, f"{base}.ls", (head + bytecode.text_of(s, names or [], version or 0)).encode(), None))
                     rows.append((file, f"{base}.lasm", bytecode.listing(s, names or []).encode(), None))
                 except (ValueError, struct.error) as e:
                     rows.append((file, f"{base}.ls", None, f"{type(e).__name__}: {e}"))
             yield files.arrow_rows(rows, OUTPUT)
 
-    return linked(project).select("file", "base", "data", "names", F.col("version").cast("int"), "who.number").mapInArrow(run, OUTPUT)
+    found = linked(project).join(kinds(project), ["file", "script_res"], "left")
+    return found.select("file", "base", "data", "names", F.col("version").cast("int"), "who.name", "kind").mapInArrow(run, OUTPUT)

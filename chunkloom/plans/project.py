@@ -50,7 +50,10 @@ class Project:
         return ours.join(blobs, ["file", "child"]).where("width > 0 and height > 0")
 
     def histograms(self) -> DataFrame:
-        """Counts of raw codes by palette, of bitmaps that name a palette by number."""
+        """Counts of raw codes by palette, of bitmaps that name a palette by number.
+
+        A bitmap that can't be decoded has no codes to count; ``images`` has a row with its error.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import numpy as np
@@ -90,11 +93,11 @@ class Project:
     # --- outputs ---
 
     def _named(self, df: DataFrame) -> DataFrame:
-        """Adds ``base``: folder of the file, folder of the kind, number, kind and name."""
+        """Adds ``base``: the file's whole path as a folder, folder of the kind, number, kind and name."""
         who = self.named.groupBy("file", "res_id").agg(F.min_by(F.struct("number", "kind", "name"), "ordinal").alias("who"))
         folder = F.element_at(F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv]), F.col("who.kind"))
         name = text.member_name(F.coalesce("who.name", F.concat(F.lit("member_"), F.col("who.number").cast("string"))))
-        own = F.concat_ws("/", F.regexp_replace("file", r"\.[^./]*$", ""), F.coalesce(folder, F.lit("other")), text.padded(F.col("who.number"), F.col("who.kind"), name))
+        own = F.concat_ws("/", F.col("file"), F.coalesce(folder, F.lit("other")), text.padded(F.col("who.number"), F.col("who.kind"), name))
         return df.join(who, ["file", "res_id"]).withColumn("base", own)
 
     def images(self) -> DataFrame:
@@ -163,7 +166,7 @@ class Project:
     def _lines(rows: DataFrame, name: str) -> DataFrame:
         """A text of a file's lines in order; there are at most as many as a file has libraries."""
         body = F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], "")
-        path = F.concat(F.regexp_replace("file", r"\.[^./]*$", ""), F.lit(f"/{name}"))
+        path = F.concat(F.col("file"), F.lit(f"/{name}"))
         return rows.groupBy("file").agg(F.encode(body, "UTF-8").alias("content")).select("file", path.alias("rel_path"), "content", F.lit(None).cast("string").alias("error"))
 
     def fonts(self) -> DataFrame:

@@ -51,11 +51,15 @@ class BlobWriter(DataSourceWriter):
 
 
 def write_blobs(outputs: DataFrame, folder: str) -> None:
-    """Writes outputs; equal paths are written once, from the first by content."""
+    """Writes outputs, each row as the file it names. Paths begin with the whole path of the input file, so no two
+    inputs share one; if two rows have one path all the same, nothing is written. Contents aren't shuffled."""
     spark = outputs.sparkSession
+    rows = outputs.where("content is not null").select("rel_path", "content")
+    twice = rows.groupBy("rel_path").count().where("count > 1").select("rel_path").limit(3).collect()
+    if twice:
+        raise ValueError(f"several outputs have one path: {', '.join(r.rel_path for r in twice)}")
     spark.dataSource.register(BlobSource)
-    once = outputs.where("content is not null").groupBy("rel_path").agg(F.min("content").alias("content"))
-    once.write.format("blobs").mode("append").save(folder)
+    rows.write.format("blobs").mode("append").save(folder)
 
 
 def config_text(configs: DataFrame) -> DataFrame:
@@ -87,7 +91,7 @@ def config_text(configs: DataFrame) -> DataFrame:
     }
     lines = F.array_compact(F.array(*[F.concat(F.lit(f"{k}\t"), v.cast("string"), F.lit("\n")) for k, v in fields.items()]))
     first = configs.groupBy("file").agg(F.min_by("data", "ordinal").alias("data"))
-    path = F.concat(F.regexp_replace("file", r"\.[^./]*$", ""), F.lit("/movie.txt"))
+    path = F.concat(F.col("file"), F.lit("/movie.txt"))
     return first.select("file", path.alias("rel_path"), F.encode(F.array_join(lines, ""), "UTF-8").alias("content"), F.lit(None).cast("string").alias("error"))
 
 
