@@ -13,8 +13,9 @@ or more for each shingle of the band, has the parity of the shingles at each bit
    document's words others have too; a document with too few is alone. Few documents stay.
 2. Keys. Of those that stay, the first words up to the bound and one more, the rarest first, are its keys: what links
    has a key in common.
-3. Star. Of the documents with a key one is paired with each other. Pairs whose bit sketches are within the bound are
-   checked on their whole sets.
+3. Stars. Of the documents with a key one is paired with each other. Pairs whose bit sketches are within the bound are
+   checked on their whole sets. While that finds more than a few links, it is done again with other documents in the
+   middle, among those not in one component yet, up to ``STARS`` times; what it leaves is for the next step.
 4. Rest. Where a key's documents aren't in one component now, those of different components are compared by their bit
    sketches, in blocks, one key for all keys of the same documents; pairs within the bound, and only these, leave the
    task and are checked on their whole sets. So no link that joins two components is lost.
@@ -44,9 +45,10 @@ from pyspark.sql import functions as F
 from .shared import Store, components, enter
 
 WORDS, SMALL, PER_WORD = 5, 64, 1.6
-SLICE_CHARS, SLICE_ROWS, BUCKET_BYTES = 3 << 20, 30_000, 16 << 20
+SLICE_CHARS, SLICE_ROWS, BUCKET_BYTES = 2 << 20, 30_000, 8 << 20
 MOST_BROADCAST = 1_000_000  # ids
 CELL = 1024  # documents of a key compared in one go
+STARS, WORTH = 4, 0.02  # rounds of step 3 at most; share of new links for which another is worth it
 BITS, LEAST_BITS = 4, 512  # of the bit sketch, for each shingle of a band's largest set; at least
 NOBODY = 0xFFFF  # in the place of a document: needs no answer
 
@@ -325,18 +327,29 @@ def linked(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str
     used = words.join(often, "key").withColumn("place", F.row_number().over(of_one)).where("place <= most + 1 and size > 1")
     used = store.keep(used.select("key", "code", "top", "n", "guest"), "used")
 
-    first = used.groupBy("key").agg(F.min(F.struct("guest", "code", "n")).alias("l"))
-    star = used.join(first, "key").where("code <> l.code and not (guest and l.guest) and 4 * least(n, l.n) >= 3 * greatest(n, l.n)")
-    star = star.select(F.least("code", "l.code").alias("x"), F.greatest("code", "l.code").alias("y"), "top").distinct()
-    tried = store.keep(_within(star, units), "tried")
-    links = store.keep(_links(tried, units), "links")
-    comp = store.keep(components(store, links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "so_far")
+    tried, n_links, done, comp = None, 0, [], store.keep(used.select(F.col("code").alias("id"), F.col("code").alias("component")).where("false"), "alone")
+    for i in range(STARS):
+        pairs = _star(used, comp, i)
+        pairs = pairs.join(tried, ["x", "y"], "left_anti") if tried else pairs
+        within = store.keep(_within(pairs, units), "within")
+        links = store.keep(_links(within, units), "links")
+        tried = tried.unionByName(within) if tried else within
+        done += within, links
+        new = links.count()
+        n_links += new
+        if not new:
+            break
+        comp = store.keep(components(store, comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links.toDF("a", "b"))), "so_far")
+        if new < n_links * WORTH:
+            break
     more = store.keep(_links(_rest(used, units, comp, store).join(tried, ["x", "y"], "left_anti"), units), "more")
 
     edges = more.unionByName(comp.select(F.col("id").alias("x"), F.col("component").alias("y")))
     for c in "xy":
         edges = edges.join(reps.select(F.col("code").alias(f"c{c}"), F.col("rep").alias(f"r{c}")), F.col(c) == F.col(f"c{c}"))
-    return rows_of(per, rows), components(store, edges.select(F.col("rx").alias("a"), F.col("ry").alias("b")).unionByName(same))
+    out = components(store, edges.select(F.col("rx").alias("a"), F.col("ry").alias("b")).unionByName(same))
+    store.drop(*done, stay, reps, same, units, used, comp, more)
+    return rows_of(per, rows), out
 
 
 def rows_of(per: DataFrame, rows: DataFrame) -> DataFrame:
@@ -349,10 +362,24 @@ def rows_of(per: DataFrame, rows: DataFrame) -> DataFrame:
     return per.select("doc_id", "n").unionByName(rows.where("doc_id is null").mapInArrow(count, "doc_id long, n long"))
 
 
+def _placed(used: DataFrame, comp: DataFrame) -> DataFrame:
+    """``used`` with the component so far, ``c``."""
+    own = comp.select(F.col("id").alias("__i"), "component")
+    return used.join(own, F.col("code") == F.col("__i"), "left").withColumn("c", F.coalesce("component", "code")).drop("__i", "component")
+
+
+def _star(used: DataFrame, comp: DataFrame, i: int) -> DataFrame:
+    """Pairs (x, y, top) of one document of a key, another in each round, with those in other components."""
+    named = _placed(used, comp)
+    first = named.groupBy("key").agg(F.min(F.struct("guest", F.xxhash64("code", F.lit(i)), "code", "n", "c")).alias("l"))
+    star = named.join(first, "key").where("c <> l.c and not (guest and l.guest) and 4 * least(n, l.n) >= 3 * greatest(n, l.n)")
+    return star.select(F.least("code", "l.code").alias("x"), F.greatest("code", "l.code").alias("y"), "top").distinct()
+
+
 def _rest(used: DataFrame, units: DataFrame, comp: DataFrame, store: Store) -> DataFrame:
     """Pairs (x, y) of documents with a key in common, in different components so far, whose bit sketches are within
     the bound. Documents of a key are split into blocks; each pair of blocks is a cell."""
-    named = used.join(comp.select(F.col("id").alias("__i"), "component"), F.col("code") == F.col("__i"), "left").withColumn("c", F.coalesce("component", "code")).drop("__i", "component")
+    named = _placed(used, comp)
     members = [F.bit_xor(F.xxhash64("code", F.lit(i))).alias(f"m{i}") for i in range(2)]
     groups = named.groupBy("key", "top").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"), F.min("guest").alias("all_guests"), *members)
     groups = groups.where("low <> high and not all_guests").groupBy("top", "size", "m0", "m1").agg(F.min("key").alias("key"))
