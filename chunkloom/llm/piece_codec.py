@@ -29,7 +29,7 @@ from .bpe_machine import Kept, Pairs, StreamCoder
 from .shared import enter
 
 MARK = "▁"
-KEPT = 180_000
+KEPT = 120_000
 
 
 class Codec:

@@ -31,7 +31,7 @@ from .bpe_machine import Kept
 from .shared import enter
 from .token_store import spread
 
-MOST, LONGEST, SLICE_CHARS, KEPT, DOCS_AT_ONCE = 2500, 40, 4 << 20, 100_000, 200
+MOST, LONGEST, SLICE_CHARS, KEPT, DOCS_AT_ONCE = 2500, 40, 2 << 20, 60_000, 200
 THRESHOLD = 0.7
 ENDS = tuple(".!?|;:")
 STRIP = ".,;:!?|\"'()[]{}<>*#%-_/\\&=+~`^$@"
