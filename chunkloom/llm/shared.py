@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 #: Used only if the session names no shared folder and has no machine but this one.
 LOCAL_FOLDER = "/tmp/checkpoints/chunkloom"
 
+#: Rows that go to Python at once where tables are written: texts are long, and both sides hold a batch of them.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,15 +38,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _held: list[tuple[str, Callable]] = []
+LARGE = 1 << 20  # bytes; from there on memory goes back to the system when it is freed
+TRIM_THRESHOLD, MMAP_THRESHOLD = -1, -3  # fixed values: names of settings in the C library's mallopt
 
 
 def enter(name: str, clear: Callable = lambda: None) -> None:
     """Called by tasks in Python: what another operator keeps in this worker is given up first."""
+    libc = ctypes.CDLL(None)
+    if not _held and hasattr(libc, "mallopt"):
+        libc.mallopt(MMAP_THRESHOLD, LARGE)
+        libc.mallopt(TRIM_THRESHOLD, LARGE)
+        pa.set_memory_pool(pa.system_memory_pool())
     if _held and _held[0][0] != name:
         _held.pop()[1]()
         gc.collect()
         pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        if trim := getattr(libc, "malloc_trim", None):
             trim(0)
     if not _held:
         _held.append((name, clear))
@@ -67,7 +77,12 @@ class Store:
     def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Writes ``df`` and returns the table read back, whose plan starts at its files."""
         path = self.path(name)
-        df.write.option("compression", codec).parquet(path)
+        before = self.spark.conf.get(BATCH, None)
+        self.spark.conf.set(BATCH, str(BATCH_ROWS))
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.unset(BATCH) if before is None else self.spark.conf.set(BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._store_path = path
         return out
