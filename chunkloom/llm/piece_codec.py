@@ -15,6 +15,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from .bpe_machine import Kept, Pairs, StreamCoder
 from .shared import enter
 
 MARK = "▁"
-KEPT = 120_000
+KEPT, SLICE_CHARS = 120_000, 2 << 20
 
 
 class Codec:
@@ -89,6 +91,15 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _slices(x: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of about ``SLICE_CHARS`` of the last column, its texts: memory is for one, whatever the batch."""
+    upto, at = np.cumsum(pc.binary_length(x.columns[-1]).to_numpy(zero_copy_only=False)), 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_CHARS, "right")))
+        yield x.slice(at, end - at)
+        at = end
+
+
 def encoded(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``docs`` without its text, and n_pieces, ids_crc32, round_trip (decoding the ids gives the text), ids.
 
@@ -100,7 +111,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("piece_codec", codec.cache_clear)
         own = codec(path)
-        for x in batches:
+        for x in itertools.chain.from_iterable(map(_slices, batches)):
             texts = x.column(len(rest)).to_pylist()
             n, crc, same, all_ids = [], [], [], []
             for t in texts:
