@@ -10,7 +10,7 @@ Decoding looks pieces up in one table of their bytes and gathers them with numpy
 
 Defined cases: null counts as empty and has no ids; a U+2581 in a text comes back as a space, as in the library;
 characters without a piece are encoded by bytes, or as unknown where the model has no byte pieces. An empty table
-gives an empty result.
+gives an empty result. A model whose ids this search does not give (``PROBES``) is an error.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ from .shared import enter
 MARK = "▁"
 KEPT, SLICE_CHARS = 120_000, 2 << 20
 
+#: Texts whose ids tell models of another kind, or with a normaliser, from those this search is for.
+PROBES = ("the unbelievable wordiness of 1234 internationalisations", "  Two  blanks ", "\ufb01 \u2163 e\u0301 \uff21\n\tx")
+
 
 class Codec:
     def __init__(self, path: str):
@@ -60,6 +63,9 @@ class Codec:
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.kept = Kept(KEPT)
+        for text in PROBES:
+            if np.frombuffer(self.encode(text), "<u4").tolist() != model.encode(text):
+                raise ValueError(f"{path}: not a BPE model without a normaliser")
 
     def _piece(self, text: str) -> bytes:
         if (ids := self.kept.find(text)) is None:

@@ -5,8 +5,9 @@ the source's size; what a source can't take is shared by weight among the others
 source the documents stand in order of size and id; each has target / source size expected copies, their prefix sum
 plus one random offset of the source crosses integers, and a document is emitted once for each it crosses. So no
 document is emitted more than ``most`` times, and as neighbours in the order are of about one size, the words taken
-come within about the largest document of the target. The offset is, of ``DRAWS`` random ones, that whose words come
-nearest to the target, which matters in sources of few documents.
+come within about the largest document of the target. Then, up to ``ROUNDS`` times, the one document of a source
+whose copies, one more or one less, bring its words nearest to the target is changed by that; this matters in sources
+of few documents.
 
 The prefix sum needs no source in one task: rows are range-partitioned by (source, size, id), numbered within
 partitions, and the numbers at which partitions start come from a table of one row per partition and source.

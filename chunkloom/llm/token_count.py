@@ -120,11 +120,16 @@ def piece_starts(cls: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 class Counter:
-    """Counts tokens of texts for a byte-level BPE file of the tokenizers library."""
+    """Counts tokens of texts for a byte-level BPE file of the tokenizers library; files of another make are refused."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        known = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        changed = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if not known or model.get("type") != "BPE" or any(model.get(x) for x in changed):
+            raise ValueError(f"{path}: not a plain byte-level BPE file")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
         raw = lambda s: bytes(shown[c] for c in s)
@@ -134,6 +139,7 @@ class Counter:
         self.machine = CountMachine(Pairs(ids, lambda a, b: ranks.get((a, b))))
         added = sorted((x["content"] for x in spec.get("added_tokens", ())), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.sign = "<" if all("<" in x for x in added) else ""  # whatever has none of it has no added token
         self.kept = Kept(KEPT)
 
     def piece(self, text: str) -> int:
@@ -157,7 +163,7 @@ class Counter:
     def _some(self, texts: list[str]) -> np.ndarray:
         parts, owner, extra = [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            if self.added and "<" in text and self.added.search(text):
+            if self.added and self.sign in text and self.added.search(text):
                 cut = self.added.split(text)
                 extra[i] = len(cut) - 1
             else:

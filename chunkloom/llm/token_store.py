@@ -11,7 +11,8 @@ bytes (ranks, little-endian without leading zero bytes). Decoding looks control
 lengths and gathers the data bytes, all with numpy.
 
 Defined cases: null counts as empty; an empty text is the end id alone; equal doc_ids stand beside each other in no
-fixed order; rows without doc_id come first; an empty table gives no blocks.
+fixed order; rows without doc_id come first; an empty table gives no blocks; a tokenizer file of another make than
+``Encoder`` knows is an error.
 """
 
 from __future__ import annotations
@@ -94,8 +95,9 @@ PLAIN = re.compile("[!-~\u00a1-\u017f]+")
 class Encoder:
     """Ids of whole texts. Blanks end words here, so what stands between blanks is encoded alone, and once.
 
-    For files of one known make (NFC, blanks to one, lower case, split by a regex, byte level) words of plain characters
-    are split here and only their parts go to the library's model; all other words go through the whole library.
+    That holds for files of one make (NFC, blanks to one, lower case, split by a regex without blanks, byte level);
+    others are refused. Words of plain characters are split here and only their parts go to the library's model; all
+    other words go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -108,17 +110,20 @@ class Encoder:
         self.kind, self.code = ("<u4", "I") if wide else ("<u2", "H")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        steps = [(x["type"], x.get("pattern"), x.get("content")) for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         kinds = [(x["type"], x.get("behavior"), x.get("invert"), x.get("use_regex"), x.get("add_prefix_space")) for x in split]
-        known = steps == ["NFC", "Replace", "Lowercase"] and kinds == [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]
+        known = steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        known = known and kinds == [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]
         self.parts = regex.compile(split[0]["pattern"]["Regex"]).findall if known else None
+        if not known or any(" " in x for x in self.parts(" a  1 . a1. ")):
+            raise ValueError(f"{path}: not a file whose words blanks end (NFC, blanks to one, lower case, split by a regex, byte level)")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
 
     def _word(self, word: str) -> bytes | None:
         """Ids of a new word; None if the library has to see it whole."""
-        if self.parts is None or "<|" in word or not PLAIN.fullmatch(word):
+        if "<|" in word or not PLAIN.fullmatch(word):
             return None
         found, put, code, out = self.kept.find, self.kept.put, self.code, []
         for part in self.parts(word.lower()):

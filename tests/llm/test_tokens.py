@@ -1,7 +1,9 @@
 """Token store, token counts and pieces against the libraries, whole and through Spark."""
 
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -142,3 +144,15 @@ def test_queries_of_odd_rows(spark, odd):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     assert sorted(map(str, (r.ids for r in out.collect()))) == sorted(str(model.encode(r.text or "")) for r in odd.collect())
     assert piece_codec.encoded(odd.limit(0), PIECE).count() == token_count.token_counts(odd.limit(0), BYTE).count() == 0
+
+
+def test_files_of_another_make_are_refused(tmp_path):
+    for make, path in ((token_store.Encoder, BYTE), (token_count.Counter, WORD)):
+        with pytest.raises(ValueError, match="not a"):
+            make(path)
+    other = tmp_path / "lower.json"
+    spec = json.loads(Path(BYTE).read_text("utf-8"))
+    spec["normalizer"] = {"type": "Lowercase"}
+    other.write_text(json.dumps(spec), "utf-8")
+    with pytest.raises(ValueError, match="not a"):
+        token_count.Counter(str(other))
