@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import struct
 from functools import lru_cache
 
@@ -14,6 +15,9 @@ MOST_ROWS, MOST_ITEMS, MOST_LIBRARIES = 100_000, 10_000, 1_000
 KINDS = {1: "bitmap", 2: "filmLoop", 3: "text", 4: "palette", 5: "picture", 6: "sound", 7: "button", 8: "shape", 9: "movie", 10: "digitalVideo", 11: "script", 12: "xtra", 13: "frame", 14: "font"}
 #: Tags of parts of members as old files embed them, reversed, and the kind that a part tells.
 PARTS = {b"DTIB": "bitmap", b"muhT": "bitmap", b"rcsL": "script", b"tXTS": "text", b"TXTS": "text", b" DNS": "sound", b"TULC": "palette", b"FCRD": None, b"ediM": None, b"fniC": None, b"*SAC": None}
+#: What a row of an old member's parts may hold: least and largest tag, and children below a bound (fixed values).
+ROW_TAGS, ROW_CHILDREN, ROW_MISSES, LEAST_INLINE = (1000, 15000), 5000, 3, 50
+_PART = re.compile(b"(?=" + b"|".join(map(re.escape, PARTS)) + b")")
 SHAPES = {1: "rect", 2: "ovalRect", 3: "oval", 8: "line"}
 SCRIPTS = {1: "score", 3: "movie", 7: "parent"}
 
@@ -46,7 +50,8 @@ def items(data: bytes, at: int) -> list[tuple[int, int]]:
 
 
 def member(data: bytes, big: bool = True) -> dict:
-    """kind, its code, layout, info and specific bytes, tags of embedded parts."""
+    """kind, its code, layout, info and specific bytes, tags of embedded parts; ``old`` if it has no blocks of its own
+    for info and specific bytes, so that the whole record is one."""
     if len(data) < 6:
         raise Truncated("a member of under 6 bytes")
     order = ">" if big else "<"
@@ -54,15 +59,52 @@ def member(data: bytes, big: bool = True) -> dict:
         code, info, spec = struct.unpack_from(order + "III", data)
         if 1 <= code <= 20 and info < len(data) and spec < len(data):
             body = data[12 : 12 + info]
-            return {"kind": KINDS.get(code, "unknown"), "kind_code": code, "layout": "d5", "info": body, "spec": data[12 + info : 12 + info + spec], "child_tags": []}
+            return {"kind": KINDS.get(code, "unknown"), "kind_code": code, "layout": "d5", "info": body, "spec": data[12 + info : 12 + info + spec], "child_tags": [], "old": not (info and spec)}
     code, tags = data[6] if len(data) > 6 else 0, []
+    spec, info = struct.unpack_from(order + "HI", data)
+    body, old = data[12 : 12 + info], not (spec and info and len(data) >= 12)
     if len(data) >= 16:
         found = (data[i : i + 4] for i in range(len(data) - 3))
         tags = list(dict.fromkeys(t for t in found if t in PARTS))
         for t in tags:
             if PARTS[t]:
-                return {"kind": PARTS[t], "kind_code": None, "layout": "d3", "info": b"", "spec": data, "child_tags": [t[::-1].decode() for t in tags]}
-    return {"kind": KINDS.get(code, "unknown"), "kind_code": code, "layout": "d4", "info": b"", "spec": data[6:], "child_tags": []}
+                return {"kind": PARTS[t], "kind_code": None, "layout": "d3", "info": body, "spec": data if old else data[12 + info : 12 + info + spec], "child_tags": [t[::-1].decode() for t in tags], "old": old}
+    return {"kind": KINDS.get(code, "unknown"), "kind_code": code, "layout": "d4", "info": body, "spec": data[6:] if old else data[12 + info : 12 + info + spec], "child_tags": [], "old": old}
+
+
+def entries_end(data: bytes) -> int | None:
+    """Where the rows of an old member's parts end, which its pixels follow; None without rows.
+
+    A row has a tag, a child (both little-endian) and a name. The first is that of a known name with a plausible tag
+    and child, wherever it lies; behind it rows of any name count, until three in a row are not plausible.
+    """
+
+    def likely(at: int) -> bool:
+        tag, child = struct.unpack_from("<II", data, at)
+        return ROW_TAGS[0] <= tag <= ROW_TAGS[1] and child < ROW_CHILDREN
+
+    if len(data) < 16:
+        return None
+    end = next((m.start() + 4 for m in _PART.finditer(data, 8) if likely(m.start() - 8)), None)
+    misses = 0
+    for at in range(end, len(data) - 11, 12) if end else ():
+        misses = 0 if likely(at) else misses + 1
+        if misses == ROW_MISSES:
+            break
+        end = at + 12 if not misses else end
+    return end
+
+
+def inline_bitmap(data: bytes) -> tuple[dict, bytes] | None:
+    """Record and pixels of an old member, which holds both; None if neither place has a rectangle of a usable size."""
+    for at in (2, 8) if len(data) >= 20 else ():
+        top, left, bottom, right = struct.unpack_from(">4h", data, at)
+        width, height = abs(right - left), abs(bottom - top)
+        if 0 < width < 10_000 and 0 < height < 10_000:
+            end = entries_end(data)
+            body = data[end:] if end is not None and len(data) - end > LEAST_INLINE else data
+            return bitmap_info(b"") | {"width": width, "height": height, "bpp": 8}, body
+    return None
 
 
 def member_name(info: bytes) -> str | None:

@@ -12,10 +12,13 @@ def member_name(s: Column) -> Column:
 
 
 def file_name(s: Column, default: str = "cast") -> Column:
-    """A folder name: known suffix off, no control characters, separators to '_', 64 bytes at most."""
+    """A folder name: known suffix off, no control characters, separators to '_', 64 bytes at most, cut between characters."""
     s = F.regexp_replace(s, r"(?i)\.(dir|cst|dxr|cxt|dcr|cct)$", "")
     s = F.regexp_replace(F.regexp_replace(s, r"[\x00-\x1F\x7F]", ""), r"[/\\: .]", "_")
-    s = F.substring(F.regexp_replace(s, "^_+|_+$", ""), 1, 64)
+    s = F.encode(F.regexp_replace(s, "^_+|_+$", ""), "UTF-8")
+    # what is left of a character that is cut becomes the replacement character, which goes
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(s, 1, 64).cast("string")), "\uFFFD+$", "")
+    s = F.when(F.length(s) > 64, cut).otherwise(F.decode(s, "UTF-8"))
     return F.when(F.length(s) > 0, s).otherwise(default)
 
 

@@ -16,15 +16,24 @@ from chunkloom.operators import resolve
 OUTPUT = "file string, rel_path string, content binary, error string"
 
 
-def instructions(of: DataFrame) -> DataFrame:
-    """One row per instruction: script, handler and its name id, place, operation, code and argument."""
+def instructions(of: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """One row per instruction: script, handler and its name id, place, operation, code and argument.
+
+    Scripts of files that have none of ``contexts`` (a file column) have the narrower rows of handlers.
+    """
     from chunkloom.sources import files
 
-    def rows(tag: str, data: bytes) -> list[tuple]:
-        s = bytecode.script(data)
-        return [(k, h.name_id, x.at, x.op, x.raw, x.arg) for k, h in enumerate(s.handlers) for x in h.code]
+    def listed(scripts: DataFrame, wide: bool) -> DataFrame:
+        def rows(tag: str, data: bytes) -> list[tuple]:
+            s = bytecode.script(data, wide)
+            return [(k, h.name_id, x.at, x.op, x.raw, x.arg) for k, h in enumerate(s.handlers) for x in h.code]
+
+        return files.decoded(scripts, ("Lscr",), "handler int, name_id int, pc int, op string, raw_op int, arg long", rows)
 
-    return files.decoded(of, ("Lscr",), "handler int, name_id int, pc int, op string, raw_op int, arg long", rows)
+    if contexts is None:
+        return listed(of, True)
+    having = contexts.select("file").distinct()
+    return listed(of.join(having, "file", "left_semi"), True).unionByName(listed(of.join(having, "file", "left_anti"), False))
 
 
 def literals(of: DataFrame) -> DataFrame:
@@ -77,8 +86,8 @@ def linked(project) -> DataFrame:
     return project._named(out)
 
 
-def written(project) -> DataFrame:
-    """Each script as text (.ls) and as a listing (.lasm)."""
+def written(project, listed: bool = True) -> DataFrame:
+    """Each script as text (.ls) and, if ``listed``, as a listing (.lasm)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from chunkloom.sources import files
@@ -92,7 +101,8 @@ def written(project) -> DataFrame:
                     s = bytecode.script(data)
                     head = f"-- Cast member: {name or ''}\n-- Type: {kind or s.kind}\n\n"
                     rows.append((file, f"{base}.ls", (head + bytecode.text_of(s, names or [], version or 0)).encode(), None))
-                    rows.append((file, f"{base}.lasm", bytecode.listing(s, names or []).encode(), None))
+                    if listed:
+                        rows.append((file, f"{base}.lasm", bytecode.listing(s, names or []).encode(), None))
                 except (ValueError, struct.error) as e:
                     rows.append((file, f"{base}.ls", None, f"{type(e).__name__}: {e}"))
             yield files.arrow_rows(rows, OUTPUT)

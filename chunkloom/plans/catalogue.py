@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import text
 from chunkloom.operators import groups, links, ordered
+from chunkloom.sources import container, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -342,3 +343,71 @@ def bit_unpack(t):
 def colour_pack(t):
     size, key = F.col("p_size"), F.col("p_partkey")
     return t("part").select("p_partkey", text.hex_colour(size % 256, key % 256, size % 7).alias("h"))
+
+
+# --- the format engine over containers made of table rows ----------------------------------------------------------------
+
+
+def _big(n, width: int = 4):
+    """A number as big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 2 * width, "0"))
+
+
+def _framed(tag: str, body):
+    """A frame: its tag, its length, its bytes, and one more where they are odd."""
+    return F.concat(F.lit(tag.encode()), _big(F.octet_length(body)), body, F.when(F.octet_length(body) % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b"")))
+
+
+@query("SELECT doc_id, text, 1 AS n_runs, doc_id % 65536 AS size FROM documents")
+def container_text(t):
+    """Each document as a file with a styled text of one run, decoded to chunks and read again."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    run = F.concat(F.lit(bytes(12)), _big(F.col("doc_id") % 65536, 2), F.lit(bytes(6)))
+    body = F.concat(_big(F.lit(12)), _big(F.octet_length(raw)), _big(F.lit(22)), raw, _big(F.lit(1), 2), run)
+    frames = F.concat(_framed("VWLB", F.lit(b"odd")), _framed("STXT", body))
+    made = t("documents").select(F.col("doc_id").cast("string").alias("file"), F.concat(F.lit(b"RIFX"), _big(F.octet_length(frames)), frames).alias("content"))
+    found = files.texts(files.chunks(made))
+    return found.select(F.col("file").cast("long").alias("doc_id"), "text", F.size("runs").alias("n_runs"), F.col("runs")[0]["size"].cast("long").alias("size"))
+
+
+@query(
+    """SELECT l_orderkey, l_partkey AS child, l_suppkey AS parent, CASE l_returnflag WHEN 'A' THEN 'BITD' WHEN 'N' THEN 'CLUT' ELSE 'STXT' END AS link_tag,
+              count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem"""
+)
+def container_links(t):
+    """The lines of each order as a table of links in a file of its own, read again."""
+    flag = F.col("l_returnflag")
+    tag = F.when(flag == "A", "BITD").when(flag == "N", "CLUT").otherwise("STXT")
+    row = F.concat(F.hex(_big(F.col("l_partkey"))), F.hex(_big(F.col("l_suppkey"))), F.hex(F.encode(tag, "UTF-8")))
+    orders = t("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("file")).agg(F.array_join(F.collect_list(row), "").alias("rows"), F.count("*").alias("n"))
+    body = F.concat(F.lit(b"\0\x0c\0\x0c"), _big(F.col("n")), _big(F.col("n")), F.unhex("rows"))
+    frames = _framed("KEY*", body)
+    made = orders.select("file", F.concat(F.lit(b"RIFX"), _big(F.octet_length(frames)), frames).alias("content"))
+    found = files.links(files.chunks(made))
+    n = F.count("*").over(Window.partitionBy("file"))
+    return found.select(F.col("file").cast("long").alias("l_orderkey"), "child", "parent", "link_tag", n.alias("n"))
+
+
+@query(
+    """SELECT p_partkey, p_name AS name, 'd5' AS layout,
+              CASE p_size % 5 WHEN 0 THEN 'bitmap' WHEN 1 THEN 'text' WHEN 2 THEN 'sound' WHEN 3 THEN 'script' ELSE 'font' END AS kind, p_size * 3 AS script_id FROM part"""
+)
+def container_members(t):
+    """Each part as a member with a kind, a name and a script id, in a compressed container, read again."""
+    kind = F.element_at(F.array(*map(F.lit, (1, 3, 6, 11, 14))), F.col("p_size") % 5 + 1)
+    name = F.encode("p_name", "UTF-8")
+    named = F.concat(_big(F.octet_length(name), 1), name)
+    items = F.concat(_big(F.lit(2), 2), _big(F.lit(0)), _big(F.lit(0)), _big(F.octet_length(named)), named)
+    info = F.concat(_big(F.lit(20)), F.lit(bytes(12)), _big(F.col("p_size") * 3), items)
+    member = F.concat(_big(kind), _big(F.octet_length(info)), _big(F.lit(2)), info, F.lit(b"zz"))
+    parts = t("part").select(F.col("p_partkey").cast("string").alias("file"), member.alias("member"))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for x in batches:
+            packed = [container.write_packed([(7, b"CASt", m.as_py(), False), (8, b"VWLB", b"ab", True)]) for m in x.column(1)]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(packed, pa.binary())], names=["file", "content"])
+
+    found = files.members(files.chunks(parts.mapInArrow(pack, "file string, content binary")))
+    return found.select(F.col("file").cast("long").alias("p_partkey"), "name", "layout", "kind", F.col("script_id").cast("int").alias("script_id"))

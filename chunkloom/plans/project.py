@@ -13,19 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.functions import pixels, text
+from chunkloom.functions import fonts, pixels, text
 from chunkloom.operators import resolve
 from chunkloom.sources import files, sinks
 
 FOLDERS = {"bitmap": "bitmaps", "picture": "bitmaps", "sound": "sounds", "script": "scripts", "text": "texts", "button": "texts", "palette": "palettes", "shape": "shapes", "font": "fonts"}
+#: Kinds as names of files have them; all others are "member".
+NAMED = {"picture": "bitmap", "button": "text"} | {k: k for k in FOLDERS if k not in ("picture", "button")}
 OUTPUT = "file string, rel_path string, content binary, error string"
 
 
 class Project:
     """Tables of a folder of files. ``chunks`` is cut from the scan by writing it to ``work``, by tag."""
 
-    def __init__(self, spark: SparkSession, folder: str, work: str, glob: str = files.EXTENSIONS):
-        made = files.chunks(files.scan(spark, folder, glob))
+    def __init__(self, spark: SparkSession, folder: str, work: str, glob: str = files.EXTENSIONS, only: str | None = None):
+        """``only`` names one file, relative to the folder."""
+        scanned = files.scan(spark, folder, glob)
+        made = files.chunks(scanned if only is None else scanned.where(F.col("file") == only))
         # a tag may hold any bytes, and a file's name part of a path only some
         made = made.withColumn("by", F.regexp_replace(F.coalesce("tag", F.lit("none")), "[^A-Za-z0-9]", "_"))
         made.write.mode("overwrite").partitionBy("by").parquet(work)
@@ -43,11 +47,14 @@ class Project:
     # --- bitmaps ---
 
     def pixels(self) -> DataFrame:
-        """Bitmaps with their records and data."""
+        """Bitmaps with their records and data, linked or within the member. Without a flag for it a bitmap has no
+        palette id of its own and takes 1."""
         info = files.bitmaps(self.of("CASt")).where("error is null").drop("error", "pos", "ordinal")
         blobs = self.of("BITD").groupBy("file", F.col("res_id").alias("child")).agg(F.min_by("data", "ordinal").alias("data"))
-        ours = info.join(resolve.of_part(self.parts, "bitmap", "child"), ["file", "res_id"])
-        return ours.join(blobs, ["file", "child"]).where("width > 0 and height > 0")
+        ours = info.join(resolve.of_part(self.parts, "bitmap", "child"), ["file", "res_id"], "left").join(blobs, ["file", "child"], "left")
+        ours = ours.withColumn("data", F.coalesce("inline", "data")).where("data is not null and width > 0 and height > 0")
+        own = F.when(F.col("inline").isNull() & ~F.col("has_palette"), 1).otherwise(F.col("palette_id"))
+        return ours.withColumn("stored_id", F.col("palette_id")).withColumn("palette_id", own).drop("inline")
 
     def histograms(self) -> DataFrame:
         """Counts of raw codes by palette, of bitmaps that name a palette by number.
@@ -69,7 +76,7 @@ class Project:
                     rows.append((file, palette, np.bincount(codes.ravel(), minlength=256).tolist()))
                 yield files.arrow_rows(rows, "file string, palette_id int, bins array<long>")
 
-        use = self.pixels().where("palette_id > 0 and bpp in (1, 2, 4, 8)")
+        use = self.pixels().withColumn("palette_id", F.col("stored_id")).where("palette_id > 0 and bpp in (1, 2, 4, 8)")
         codes = use.select("file", "palette_id", "width", "height", "bpp", "pitch", "data").mapInArrow(run, "file string, palette_id int, bins array<long>")
         return resolve.histograms(codes)
 
@@ -96,8 +103,9 @@ class Project:
         """Adds ``base``: the file's whole path as a folder, folder of the kind, number, kind and name."""
         who = self.named.groupBy("file", "res_id").agg(F.min_by(F.struct("number", "kind", "name"), "ordinal").alias("who"))
         folder = F.element_at(F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv]), F.col("who.kind"))
-        name = text.member_name(F.coalesce("who.name", F.concat(F.lit("member_"), F.col("who.number").cast("string"))))
-        own = F.concat_ws("/", F.col("file"), F.coalesce(folder, F.lit("other")), text.padded(F.col("who.number"), F.col("who.kind"), name))
+        name = text.member_name(F.coalesce("who.name", F.concat(F.lit("member_"), F.col("res_id").cast("string"))))
+        kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv]), F.col("who.kind")), F.lit("member"))
+        own = F.concat_ws("/", F.col("file"), F.coalesce(folder, F.lit("other")), text.padded(F.col("who.number"), kind, name))
         return df.join(who, ["file", "res_id"]).withColumn("base", own)
 
     def images(self) -> DataFrame:
@@ -122,18 +130,20 @@ class Project:
         return _out(self._named(ours.join(table, ["file", "clut"])), ".pal", F.encode(body, "UTF-8"))
 
     def shapes(self) -> DataFrame:
+        """Shapes as text; one whose record is too short as the member's own bytes."""
         s = files.shapes(self.of("CASt")).where("error is null")
         hexed = lambda c: F.when(F.col(c) == 0, "0").otherwise(F.concat(F.lit("0x"), F.lower(F.hex(c))))
         yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
         fields = {"shapeType": F.col("shape"), "regX": F.col("reg_x"), "regY": F.col("reg_y"), "width": F.col("width"), "height": F.col("height"), "color": hexed("color"), "backColor": hexed("back"), "fillType": F.col("fill"), "lineThickness": F.col("thickness"), "lineDirection": F.col("direction"), "filled": yes("filled"), "outlineInvisible": yes("outline_invisible")}
         body = F.concat(*[F.concat(F.lit(f"{k}: "), v.cast("string"), F.lit("\n")) for k, v in fields.items()])
-        return _out(self._named(s), ".txt", F.encode(body, "UTF-8"))
+        rest = self.members.where("kind = 'shape' and error is null").select("file", "res_id", "raw").join(s, ["file", "res_id"], "left_anti")
+        return _out(self._named(s), ".txt", F.encode(body, "UTF-8")).unionByName(_out(self._named(rest), ".bin", F.col("raw")))
 
-    def scripts(self) -> DataFrame:
+    def scripts(self, listed: bool = True) -> DataFrame:
         """Scripts as text, and their instructions listed."""
         from chunkloom.operators import scripts
 
-        return scripts.written(self)
+        return scripts.written(self, listed)
 
     def movies(self) -> DataFrame:
         """Config of each file as lines of name and value; what a short record lacks is left out."""
@@ -176,6 +186,18 @@ class Project:
         linked = ours.join(resolve.of_part(self.parts, "font", "child"), ["file", "res_id"], "left").join(blobs, ["file", "child"], "left")
         return _out(self._named(linked.select("file", "res_id", F.coalesce("data", "raw").alias("data"))), ".bin", F.col("data"))
 
+    def movie_fonts(self) -> DataFrame:
+        """Font payloads linked to members of other kinds, each once, numbered by the first member that names it."""
+        others = self.members.where("kind <> 'font' and error is null").select("file", "res_id", "ordinal")
+        first = others.join(resolve.of_part(self.parts, "font", "child"), ["file", "res_id"]).groupBy("file", "child").agg(F.min("ordinal").alias("ordinal"))
+        blobs = self.of("XMED").where(F.substring("data", 1, 4) == F.lit(fonts.MAGIC)).groupBy("file", F.col("res_id").alias("child")).agg(F.min_by("data", "ordinal").alias("data"))
+        schema = "file string, child long, ordinal int, name string, data binary"
+        read = first.join(blobs, ["file", "child"]).select("file", "child", "ordinal", "data").mapInArrow(_font_names, schema)
+        number = F.row_number().over(Window.partitionBy("file").orderBy("ordinal", "child"))
+        named = F.when(F.col("name") != "", text.member_name(F.col("name"))).otherwise(F.concat(F.lit("font_"), F.col("child").cast("string")))
+        base = F.concat_ws("/", F.col("file"), F.lit("fonts"), text.padded(number, named))
+        return _out(read.withColumn("base", base), ".pfr", F.col("data"))
+
     def font_names(self) -> DataFrame:
         """fonts.txt of each file: its font map."""
         rows = files.font_map(self.of("Fmap")).where("error is null")
@@ -192,12 +214,26 @@ class Project:
         """What a look at the files shows, by part; lists are cut to ``limit`` rows as this is for reading."""
         tags = self.chunks.where("tag is not null").groupBy("file", "tag").agg(F.count("*").alias("n"), F.sum(F.length("data")).alias("bytes"))
         tree = self.chunks.where("tag is not null").select("file", F.concat(F.repeat(F.lit("  "), F.size(F.split("path", r"\.")) - 1), "tag").alias("node"), "res_id", "declared").orderBy("file", "ordinal")
-        parts = {"tags": tags.orderBy("file", "tag"), "tree": tree, "links": self.links, "members": self.named.select("file", "number", "kind", "name"), "texts": files.texts(self.of("STXT")).select("file", "res_id", F.substring("text", 1, 80).alias("text"))}
+        parts = {"tags": tags.orderBy("file", "tag"), "links": self.links, "members": self.named.select("file", "number", "kind", "name"), "texts": files.texts(self.of("STXT")).select("file", "res_id", F.substring("text", 1, 80).alias("text"))}
         parts |= {"sounds": files.sounds(self.of(*resolve.SOUND_TAGS)), "bitmaps": files.bitmaps(self.of("CASt")), "map": files.memory_map(self.of("mmap")), "names": files.script_names(self.of("Lnam")), "config": self.configs}
-        return {name: df.limit(limit) for name, df in parts.items()}
+        return {"tree": tree} | {name: df.limit(limit) for name, df in parts.items()}
+
+    def numbered(self) -> DataFrame:
+        """(file, number, res_id, clut): members by number, and the colour table that each is linked to."""
+        return self.numbers.join(resolve.of_part(self.parts, "palette", "clut"), ["file", "res_id"], "left").select("file", "number", "res_id", "clut")
+
+    def records_of(self, *names: str) -> DataFrame:
+        """(file, res_id, name, hex): the specific bytes of the members of some names."""
+        return self.members.where(F.col("name").isin(*names)).select("file", "res_id", "name", F.lower(F.hex("spec")).alias("hex"))
+
+    def without_palette(self) -> DataFrame:
+        """(file, n): how many bitmaps of more than one bit name no palette."""
+        found = files.bitmaps(self.of("CASt")).where("error is null and palette_id = 0 and bpp > 1")
+        return found.groupBy("file").agg(F.count("*").alias("n"))
 
-    def outputs(self) -> DataFrame:
-        parts = [self.images(), self.texts(), self.sounds(), self.colour_tables(), self.shapes(), self.scripts(), self.movies(), self.cast_lists(), self.fonts(), self.font_names()]
+    def outputs(self, listed: bool = True) -> DataFrame:
+        """All files to write; listings of instructions only if ``listed``."""
+        parts = [self.images(), self.texts(), self.sounds(), self.colour_tables(), self.shapes(), self.scripts(listed), self.movies(), self.cast_lists(), self.fonts(), self.movie_fonts(), self.font_names()]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -246,3 +282,14 @@ def _play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except ValueError as e:
                 row = (file, base, None, f"{type(e).__name__}: {e}")
             yield files.arrow_rows([row], OUTPUT)
+
+
+def _font_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The name that a font program gives itself; what is no font program has no row."""
+    for x in batches:
+        rows = []
+        for file, child, ordinal, data in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            font = fonts.program(data)
+            if font:
+                rows.append((file, child, ordinal, font.metrics.name, data))
+        yield files.arrow_rows(rows, "file string, child long, ordinal int, name string, data binary")

@@ -117,8 +117,12 @@ def _file_rows(name: str, content: bytes) -> Iterator[tuple]:
         yield (name, 0, None, *none, f"{e.kind}: {e}")
         return
     version = f.header.version if f.header else None
+    members = 0
     for i, c in enumerate(f.chunks):
         path = ".".join(map(str, c.path)) if c.path else str(i)
+        if c.tag == b"CASt" and len(c.path) in (0, 2):
+            c.res_id = members if c.res_id is None else c.res_id  # plain frames have no ids; a member's is its place
+            members += 1
         yield (name, i, path, c.tag.decode("latin-1"), c.res_id, c.offset, c.declared, c.is_list, f.layout, version, c.data, c.error)
 
 
@@ -192,18 +196,23 @@ def sounds(of: DataFrame) -> DataFrame:
 
 
 def bitmaps(of: DataFrame) -> DataFrame:
-    """Bitmap records of members, by member."""
+    """Bitmap records of members, by member; old members have their pixels with them, ``inline``."""
     def rows(tag: str, data: bytes) -> list[tuple]:
         m = records.member(data)
-        return [tuple(records.bitmap_info(m["spec"]).values())] if m["kind"] in ("bitmap", "picture") else []
+        if m["kind"] not in ("bitmap", "picture"):
+            return []
+        if m["old"]:
+            found = records.inline_bitmap(data)
+            return [(*found[0].values(), found[1])] if found else []
+        return [(*records.bitmap_info(m["spec"]).values(), None)]
 
-    return decoded(of, ("CASt",), "width int, height int, bpp int, pitch int, palette_id int, has_palette boolean, reg_x int, reg_y int", rows)
+    return decoded(of, ("CASt",), "width int, height int, bpp int, pitch int, palette_id int, has_palette boolean, reg_x int, reg_y int, inline binary", rows)
 
 
 def shapes(of: DataFrame) -> DataFrame:
     def rows(tag: str, data: bytes) -> list[tuple]:
         m = records.member(data)
-        made = records.shape(m["spec"]) if m["kind"] == "shape" else None
+        made = records.shape(data if m["old"] else m["spec"]) if m["kind"] == "shape" else None
         return [tuple(made.values())] if made else []
 
     schema = "shape string, reg_y int, reg_x int, height int, width int, color int, back int, fill int, thickness int, direction int, filled boolean, outline_invisible boolean"

@@ -11,7 +11,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from chunkloom.functions import bytes as B
 from chunkloom.functions import records
-from chunkloom.sources import container
+from chunkloom.sources import container, files
+
+FILES = "file string, rel_path string, content binary, error string"
 
 
 class BlobSource(DataSource):
@@ -99,12 +101,30 @@ def containers(chunks: DataFrame, packed: bool = True) -> DataFrame:
     """(file, content): each file's chunks written as one container again, compressed or plain frames."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["ordinal", "res_id", "tag", "data", "offset"]).to_pylist(), key=lambda r: r["ordinal"])
+        rows = sorted(table.select(["ordinal", "res_id", "tag", "data", "offset", "path"]).to_pylist(), key=lambda r: r["ordinal"])
         if packed:
             own = [(r["res_id"], r["tag"].encode("latin-1"), r["data"], r["offset"] == -1) for r in rows]
             content = container.write_packed(own)
         else:
-            content = container.write_frames([(r["tag"].encode("latin-1"), r["data"]) for r in rows])
+            own = [container.Chunk(r["tag"].encode("latin-1"), r["data"], path=tuple(map(int, r["path"].split(".")))) for r in rows]
+            content = container.write_tree(own)
         return pa.table({"file": [key[0].as_py()], "content": pa.array([content], pa.binary())})
 
     return chunks.where("data is not null").groupBy("file").applyInArrow(run, "file string, content binary")
+
+
+def files_again(scanned: DataFrame, how: str = "plain") -> DataFrame:
+    """(file, rel_path, content, error) of scanned files: ``plain`` frames of what was compressed, others as they are;
+    or each ``rewritten`` in its own layout. A file that can't be is a row with its error."""
+    make = {"plain": container.plain, "rewritten": container.rewritten}[how]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for name, content in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+                try:
+                    row = (name, name, make(content.as_py()), None)
+                except ValueError as e:
+                    row = (name, name, None, f"{type(e).__name__}: {e}")
+                yield files.arrow_rows([row], FILES)
+
+    return scanned.select("file", "content").mapInArrow(run, FILES)

@@ -397,3 +397,119 @@ def test_files_as_they_arrive(spark, folder, tmp_path):
     q = stream.select("file", "ordinal", "tag").writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("arrived").where("file = 'a.dcr'").count() == len(make.movie())
+
+
+def old_bitmap(width: int, height: int, rows: list[tuple[int, int, bytes]], pixels_: bytes) -> bytes:
+    head = struct.pack(">H4h", 0, 0, 0, height, width).ljust(26, b"\0")
+    return head + b"".join(struct.pack("<II", tag, child) + name for tag, child, name in rows) + pixels_
+
+
+def test_old_members_hold_their_pixels():
+    """Rows go on by tag and child alone, and end before the third in a row that is not plausible."""
+    own = bytes(range(200, 256)) + b"\xff" * 40
+    data = old_bitmap(8, 12, [(1024, 7, b"DTIB"), (1025, 8, b"????"), (9, 9, b"none"), (1026, 4999, b"abcd")], own)
+    assert records.entries_end(data) == 26 + 4 * 12
+    info, body = records.inline_bitmap(data)
+    assert (info["width"], info["height"], info["bpp"], body) == (8, 12, 8, own)
+    assert records.member(data)["kind"] == "bitmap" and records.member(data)["old"]
+    assert records.entries_end(old_bitmap(8, 12, [(999, 7, b"DTIB"), (1024, 5000, b"TULC")], own)) is None
+    assert records.inline_bitmap(old_bitmap(8, 12, [(1024, 7, b"DTIB")], own[:50]))[1][:2] == bytes(2)  # too few: the whole record
+    assert records.inline_bitmap(old_bitmap(0, 0, [(1024, 7, b"DTIB")], own)) is None and records.inline_bitmap(b"x" * 19) is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=120))
+def test_any_bytes_are_a_member_or_too_short(data):
+    if len(data) < 6:
+        with pytest.raises(ValueError):
+            records.member(data)
+        return
+    records.member(data)
+    end = records.entries_end(data)
+    assert end is None or end <= len(data)
+    records.inline_bitmap(data)
+
+
+def test_trees_are_written_again():
+    inner = container.write_frames([(b"abcd", b"xyz"), (b"LIST", container.write_frames([(b"deep", b"1")], b"LIST")[8:])], b"LIST")
+    data = container.write_frames([(b"STXT", b"odd"), (b"LIST", inner[8:]), (b"efgh", b"12")])
+    f = container.decode(data)
+    assert container.write_tree(f.chunks) == data and container.rewritten(data) == data and container.plain(data) == data
+    f.chunks[2].data = b"longer"
+    assert [c.data for c in container.decode(container.write_tree(f.chunks)).chunks if c.tag in (b"abcd", b"deep")] == [b"longer", b"1"]
+    packed = make.packed()
+    assert [(c.tag, c.data) for c in container.decode(container.plain(packed)).chunks] == [(c.tag, c.data) for c in container.decode(packed).chunks]
+    assert [c.data for c in container.decode(container.rewritten(packed)).chunks] == [c.data for c in container.decode(packed).chunks]
+    with pytest.raises(container.Broken):
+        container.rewritten(container.write_mapped([(b"STXT", b"x")]))
+
+
+@pytest.fixture(scope="module")
+def plain_project(spark, tmp_path_factory):
+    """A file of plain frames: an old bitmap, a shape that is too short, and a film loop; members have no ids."""
+    top = tmp_path_factory.mktemp("plain")
+    own = bytes(range(96))
+    chunks = [(b"CASt", old_bitmap(8, 12, [(1024, 7, b"DTIB")], own)), (b"CASt", make.member(8, b"few", b"bit")), (b"CASt", make.member(2, b"xx", b"loop"))]
+    (top / "old.cst").write_bytes(container.write_frames(chunks))
+    return Project(spark, str(top), str(tmp_path_factory.mktemp("work") / "chunks"))
+
+
+def test_plain_members_are_written(plain_project):
+    rows = plain_project.outputs(listed=False).collect()
+    assert [r.error for r in rows if r.content is None] == []
+    out = {r.rel_path: bytes(r.content) for r in rows}
+    assert set(out) == {"old.cst/bitmaps/0001_bitmap_member_0." + e for e in ("png", "pal", "regpoint")} | {"old.cst/shapes/0002_shape_bit.bin"}
+    assert out["old.cst/shapes/0002_shape_bit.bin"] == make.member(8, b"few", b"bit")
+    image = out["old.cst/bitmaps/0001_bitmap_member_0.png"]
+    assert struct.unpack(">II", image[16:24]) == (8, 12)
+    assert plain_project.without_palette().first().n == 1
+    assert [r.hex for r in plain_project.records_of("loop", "none").collect()] == ["7878"]
+
+
+def test_fonts_of_other_members(spark, tmp_path):
+    font = b"PFR1" + bytes(60)
+    rows = [(11, b"CASt", make.member(12, b"", b"xtra"), True), (12, b"CASt", make.member(12, b"", b"again"), True), (13, b"CASt", make.member(14, b"", b"own"), True)]
+    rows += [(20, b"XMED", font, False), (21, b"XMED", b"none", False), (30, b"KEY*", make.links([(20, 11, b"XMED"), (20, 12, b"XMED"), (21, 13, b"XMED")]), True)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/f.cst").write_bytes(container.write_packed(rows))
+    project = Project(spark, str(tmp_path / "in"), str(tmp_path / "work"))
+    assert [(r.rel_path, bytes(r.content)) for r in project.movie_fonts().collect()] == [("f.cst/fonts/0001_font_20.pfr", font)]
+    assert [r.rel_path for r in project.fonts().collect()] == ["f.cst/fonts/0003_font_own.bin"]
+
+
+def test_instructions_by_context(spark):
+    """Files without a script context have handler rows of 42 bytes."""
+    from chunkloom.operators import scripts
+
+    two = make.script(make.code((0x41, 7), (0x01, None)))
+    df = spark.createDataFrame([("wide", 0, 5, "Lscr", bytearray(two)), ("narrow", 0, 5, "Lscr", bytearray(two))], "file string, ordinal int, res_id long, tag string, data binary")
+    contexts = spark.createDataFrame([("wide",), ("wide",)], "file string")
+    got = scripts.instructions(df, contexts).groupBy("file").count().collect()
+    assert {r.file: r["count"] for r in got} == {"wide": 2, "narrow": 2}
+    assert scripts.instructions(df).count() == 4
+
+
+def test_folder_names(spark):
+    from chunkloom.functions import text
+
+    names = [" a/b.dcr", "é" * 40, "x" * 70, "___", "a\x01b"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "s string").select(text.file_name(F.col("s"))).collect()]
+    assert got == ["a_b", "é" * 32, "x" * 64, "cast", "ab"] and len(got[1].encode()) == 64
+    assert spark.sql("select concat('x', repeat('é', 40)) as s").select(text.file_name(F.col("s"))).first()[0] == "x" + "é" * 31
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from chunkloom.__main__ import main
+
+    assert main([str(tmp_path / "none"), str(tmp_path / "out")]) == 1
+    assert main([folder, str(tmp_path / "all")]) == 0
+    assert "ok=2 skip=1 fail=1 files=4" in capsys.readouterr().out
+    assert (tmp_path / "all/a.dcr/movie.txt").exists() and not list((tmp_path / "all").rglob("*.lasm"))
+    one = f"{folder}/a.dcr"
+    assert main([one, str(tmp_path / "tree"), "-t"]) == 0 and "KEY*" in capsys.readouterr().out and not (tmp_path / "tree").exists()
+    assert main([one, str(tmp_path / "one"), "-o", str(tmp_path / "plain"), "--palettes", "--lasm", "-m"]) == 0
+    assert "palettes" in capsys.readouterr().out and list((tmp_path / "one").rglob("*.lasm"))
+    assert container.decode((tmp_path / "plain/a.dcr").read_bytes()).layout == "frames"
+    assert main([one, str(tmp_path / "no"), "-c", str(tmp_path / "again")]) == 0 and not (tmp_path / "no").exists()
+    assert len(container.decode((tmp_path / "again/a.dcr").read_bytes()).chunks) == len(make.movie())
+    assert main([f"{folder}/deep/B.CCT", str(tmp_path / "no"), "-c", str(tmp_path / "again")]) == 1
