@@ -58,7 +58,8 @@ def _keys(id_col: str, text_col: str, source_col: str) -> list:
 
 def _offset(seed: int):
     """The random offset of a source, from 0 to 1."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    hexed = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("source"))), 1, 10)
+    return F.conv(hexed, 16, 10).cast("double") / F.lit(float(1 << 40))
 
 
 def plan(docs: DataFrame, store: Store, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -132,3 +133,35 @@ def mixed(docs: DataFrame, store: Store, seed: int = 0, id_col: str = "doc_id",
     out = emit(hashed.join(key.where("__n > 0"), on), "__n")
     over = key.where("__more > 0")
     return out if over.isEmpty() else out.unionByName(emit(hashed.join(over, on).dropDuplicates(["__a", "__b"]), "__more"))
+
+
+def sql(seed: int = 0) -> str:
+    """The same in DuckDB's SQL, over table documents with ids of their own: columns of the query ``op3``."""
+    rounds, rows = "", "r0"
+    for i in range(ROUNDS):
+        rounds += f""",
+        off{i} AS (SELECT source, any_value(target) - CAST(sum(copies * size) AS BIGINT) AS off FROM {rows} GROUP BY source),
+        near{i} AS (SELECT pos, off, row_number() OVER (PARTITION BY r.source ORDER BY abs(abs(off) - size), pos) AS k
+                    FROM {rows} r JOIN off{i} o ON r.source IS NOT DISTINCT FROM o.source
+                    WHERE abs(abs(off) - size) < abs(off) AND CASE WHEN off > 0 THEN copies + 1 <= {MOST} ELSE copies > 0 END),
+        r{i + 1} AS (SELECT r.* REPLACE (copies + CASE WHEN off IS NULL THEN 0 WHEN off > 0 THEN 1 ELSE -1 END AS copies)
+                     FROM {rows} r LEFT JOIN near{i} b ON r.pos = b.pos AND b.k = 1)"""
+        rows = f"r{i + 1}"
+    words = WORD.replace("'", "''")
+    return f"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{words}')) AS size FROM documents),
+        per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight
+                FROM d GROUP BY source),
+        caps AS (SELECT *, CAST({MOST} AS DOUBLE) * source_size AS cap, CAST({MOST} AS DOUBLE) * source_size / weight AS ratio FROM per),
+        levels AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
+                              - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                             / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
+        share AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, level LIMIT 1)) AS target,
+                         CAST(CAST('0x' || substr(md5(concat_ws(':', '{seed}', source)), 1, 10) AS BIGINT) AS DOUBLE) / CAST({1 << 40} AS DOUBLE) AS own FROM levels),
+        placed AS (SELECT d.*, s.source_size, s.target, s.own, CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0 END AS rate,
+                          row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS place,
+                          row_number() OVER (ORDER BY d.source NULLS LAST, size, doc_id) AS pos
+                   FROM d JOIN share s ON d.source IS NOT DISTINCT FROM s.source),
+        r0 AS (SELECT doc_id, source, size, source_size, target, pos,
+                      CAST(floor((place + 1) * rate + own) - floor(place * rate + own) AS BIGINT) AS copies FROM placed){rounds}
+        SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM {rows}"""
