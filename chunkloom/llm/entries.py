@@ -87,6 +87,21 @@ SQL = {
         n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
         SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM embeddings JOIN found ON vec_id = id LEFT JOIN n ON vec_id = a""",
+    # exact: every pair with a shingle in common
+    "op6_ngram_join": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM t),
+        n AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        both_have AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM both_have JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+        reach(id, other) AS (SELECT doc_id, doc_id FROM t UNION SELECT id, y FROM reach JOIN links ON other = x)
+        SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id
+        FROM t LEFT JOIN n USING (doc_id) JOIN reach ON t.doc_id = id GROUP BY t.doc_id""",
+    "op2_license_scan": license_scan.sql(),
+    "op3_source_mix": source_mix.sql(),
     "op9_url_filter": url_filter.sql(),
     "op5_exact_dedup": """
         WITH t AS (

@@ -15,6 +15,7 @@ lines; equal labels count once; an empty table gives an empty result. Other colu
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,3 +174,36 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.array_join(F.array_sort(all_names), ",").alias("labels"),
         F.greatest(F.coalesce(F.col("__kept.score"), F.lit(0.0)), F.when(F.size("__names") > 0, F.lit(0.8)).otherwise(0.0)).alias("score"),
     )
+
+
+def sql() -> str:
+    """The same in DuckDB's SQL, over table documents with ids of their own. Its regexes have no lookahead, so words
+    stand between two blanks, of which a match takes one on either side; nor have they any lookbehind, so what a rule
+    wants before it is looked for in the words before a match."""
+    spaced = lambda regex: re.sub(r"\[[^]]*\]| ", lambda m: "(?:  )" if m[0] == " " else m[0], regex)
+    quoted = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    told = []
+    for r in rules():
+        before, own = re.fullmatch(r" \((?:\(\?<=(.*?\})\))?(.*)\)\(\?= \)", r["regex"]).groups(default="")
+        told.append((r["label"], r["keyword"].replace(" ", "  "), spaced(own), before and before + "$", r["priority"], r["weight"], False))
+    told += [(label, phrase.replace(" ", "  "), spaced(phrase), "", 0, 0.0, True) for phrase, label in BASE.items()]
+    values = ", ".join(f"({', '.join(map(quoted, row))})" for row in told)
+    at = "list_filter(range(1, len(w) + 1), lambda i: {}(w[i], chr({})))"
+    return f"""
+        WITH rules(label, keyword, regex, before, priority, weight, base) AS (VALUES {values}),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
+        t AS (SELECT doc_id, words, ' ' || array_to_string(words, '  ') || ' ' AS norm FROM d),
+        near AS (SELECT t.doc_id, words, r.*, string_split(trim(regexp_replace(norm, ' (' || regex || ') ', ' ' || chr(1) || '\\1' || chr(2) || ' ', 'g'), ' '), '  ') AS w
+                 FROM t JOIN rules r ON contains(norm, keyword)),
+        placed AS (SELECT * EXCLUDE (w), unnest({at.format("starts_with", 1)}) - 1 AS a, unnest({at.format("ends_with", 2)}) AS b FROM near),
+        hits AS (SELECT doc_id, label, priority, weight, base, a, b FROM placed
+                 WHERE before = '' OR regexp_matches(' ' || array_to_string(words[1:a], ' ') || ' ', before)),
+        swept AS (SELECT doc_id, label, weight, b > coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b DESC, priority DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS kept
+                  FROM hits WHERE NOT base),
+        named AS (SELECT doc_id, label, weight FROM swept WHERE kept UNION ALL SELECT doc_id, label, CAST(0.8 AS DECIMAL(3, 2)) FROM hits WHERE base),
+        all_named AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, CAST(max(weight) AS DOUBLE) AS score FROM named GROUP BY doc_id),
+        based AS (SELECT doc_id, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels
+                  FROM hits WHERE base GROUP BY doc_id)
+        SELECT d.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+               coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+        FROM d LEFT JOIN based USING (doc_id) LEFT JOIN all_named USING (doc_id)"""
