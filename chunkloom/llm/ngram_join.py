@@ -17,8 +17,11 @@ or more for each shingle of the band, has the parity of the shingles at each bit
    checked on their whole sets. While that finds more than a few links, it is done again with other documents in the
    middle, among those not in one component yet, up to ``STARS`` times; what it leaves is for the next step.
 4. Rest. Where a key's documents aren't in one component now, those of different components are compared by their bit
-   sketches, in blocks, one key for all keys of the same documents; pairs within the bound, and only these, leave the
-   task and are checked on their whole sets. So no link that joins two components is lost.
+   sketches, in blocks, one key for all keys of the same documents. Of the pairs within the bound each task gives a
+   spanning forest, so fewer pairs than it has documents; what all forests connect is a cluster. Pairs within the bound
+   are in one cluster, so there they are compared again, in blocks and with their whole sets, once instead of by key; of
+   the links each task gives as many as join its components, so again fewer than its documents. So no link that joins
+   two components is lost.
 
 If a sketch has no more words than its bound (classes hold a few shingles each, so chance would need to put most into
 few classes), all is done again with more classes. Equal sets are one node, told by 64-bit digests of their 64-bit
@@ -47,7 +50,8 @@ from .shared import Store, components, enter
 WORDS, SMALL, PER_WORD = 5, 64, 1.6
 SLICE_CHARS, SLICE_ROWS, BUCKET_BYTES = 2 << 20, 30_000, 8 << 20
 MOST_BROADCAST = 1_000_000  # ids
-CELL = 1024  # documents of a key compared in one go
+CELL, CELL_BYTES = 1024, 16 << 20  # documents of a key compared in one go; bytes of their sets, where those are there
+SET_ROWS = 200  # rows with whole sets that go to Python at once
 STARS, WORTH = 4, 0.02  # rounds of step 3 at most; share of new links for which another is worth it
 BITS, LEAST_BITS = 4, 512  # of the bit sketch, for each shingle of a band's largest set; at least
 NOBODY = 0xFFFF  # in the place of a document: needs no answer
@@ -342,7 +346,7 @@ def linked(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str
         comp = store.keep(components(store, comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links.toDF("a", "b"))), "so_far")
         if new < n_links * WORTH:
             break
-    more = store.keep(_links(_rest(used, units, comp, store).join(tried, ["x", "y"], "left_anti"), units), "more")
+    more = _rest(used, units, comp, store)
 
     edges = more.unionByName(comp.select(F.col("id").alias("x"), F.col("component").alias("y")))
     for c in "xy":
@@ -377,29 +381,46 @@ def _star(used: DataFrame, comp: DataFrame, i: int) -> DataFrame:
 
 
 def _rest(used: DataFrame, units: DataFrame, comp: DataFrame, store: Store) -> DataFrame:
-    """Pairs (x, y) of documents with a key in common, in different components so far, whose bit sketches are within
-    the bound. Documents of a key are split into blocks; each pair of blocks is a cell."""
+    """Links (x, y) that join what documents with a key in common, in different components so far, are linked to."""
     named = _placed(used, comp)
     members = [F.bit_xor(F.xxhash64("code", F.lit(i))).alias(f"m{i}") for i in range(2)]
     groups = named.groupBy("key", "top").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"), F.min("guest").alias("all_guests"), *members)
     groups = groups.where("low <> high and not all_guests").groupBy("top", "size", "m0", "m1").agg(F.min("key").alias("key"))
     groups = groups.select("key", F.ceil(F.col("size") / CELL).cast("int").alias("blocks"))
     rows = named.join(groups, "key").join(units.select("code", "top", "parity"), ["code", "top"])
+    near = store.keep(_cut(rows, "parity").mapInArrow(_cells, "x long, y long").distinct(), "near")
+    if near.isEmpty():
+        return near
+    clusters = components(store, near.toDF("a", "b")).toDF("code", "key")
+    clusters = clusters.unionByName(clusters.select(F.col("key").alias("code"), "key").distinct())  # the smallest of each has no row
+    sets = units.where("not guest").select("code", "n", "guest", "members")
+    rows = store.keep(_placed(clusters, comp).join(sets.drop("members"), "code"), "clusters")
+    size = F.greatest(F.count("*") / CELL, F.sum(F.col("n") * 8) / CELL_BYTES)
+    groups = rows.groupBy("key").agg(F.ceil(size).cast("int").alias("blocks"))
+    rows_of_sets = _cut(rows.join(groups, "key").join(sets.select("code", "members"), "code"), "members")
+    links = store.keep(rows_of_sets.mapInArrow(lambda x: _cells(x, True), "x long, y long"), "rest", rows=SET_ROWS)
+    store.drop(near, rows)
+    return links
+
+
+def _cut(rows: DataFrame, data: str) -> DataFrame:
+    """The documents of each key in ``blocks`` blocks, each pair of which is a cell."""
     rows = rows.withColumn("own", F.pmod(F.xxhash64("code"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "code", "n", "c", "guest", "parity")
-    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second")
-    return store.keep(cells.mapInArrow(_cells, "x long, y long").distinct(), "rest")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "code", "n", "c", "guest", data)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second")
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a cell in different components whose bit sketches are within the bound."""
+def _cells(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of a cell in different components whose bit sketches are within the bound, as many as connect what
+    all of them connect. With ``whole`` sets instead of sketches, of those that link: as many as join the components
+    that all of them join. Either way a cell of ``k`` documents gives fewer than ``k`` pairs."""
 
     def stream():
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(8)]
-            bits = b.column(8)
+            data = b.column(8)
             for i, row in enumerate(zip(*cols, strict=True)):
-                yield row, bits[i].values.to_numpy()
+                yield row, np.frombuffer(data[i].as_buffer(), "<u8") if whole else data[i].values.to_numpy()
 
     for (_, i, j), cell in itertools.groupby(stream(), key=lambda r: r[0][:3]):
         cell = list(cell)  # two blocks at most
@@ -407,19 +428,31 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = sum(not r[0][3] for r in cell) if i != j else 0
         if i != j and split in (0, len(cell)):
             continue
-        bits = np.stack([r[1] for r in cell]).view(np.uint64)  # of signed numbers numpy would count the absolute values
+        sets = [r[1] for r in cell]
+        if whole:
+            top = 1 << int(np.ceil(np.log2(n.mean())))  # the bound holds for sketches of any length
+            bits = np.stack([parities(s, top) for s in sets])
+        else:
+            bits = np.stack(sets).view(np.uint64)  # of signed numbers numpy would count the absolute values
         a, b = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
         fits = np.not_equal.outer(c[a], c[b]) & ~np.logical_and.outer(guest[a], guest[b])
         fits &= 4 * np.minimum.outer(n[a], n[b]) >= 3 * np.maximum.outer(n[a], n[b])
         x, y = np.nonzero(fits if split else np.triu(fits, 1))
         y += split
-        step = max(1, (1 << 21) // bits.shape[1])
+        part = np.unique(c, return_inverse=True)[1] if whole else np.arange(len(cell))
+        found, step = [], max(1, (1 << 21) // bits.shape[1])
         for low in range(0, len(x), step):
             p, q = x[low : low + step], y[low : low + step]
+            apart = part[p] != part[q]
+            p, q = p[apart], q[apart]
             near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1) <= (n[p] + n[q]) // 7
-            p, q = code[p[near]], code[q[near]]
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["x", "y"])
+            for u, v in zip(p[near].tolist(), q[near].tolist(), strict=True):
+                if part[u] != part[v] and (not whole or _alike(sets[u], sets[v])):
+                    part[part == part[v]] = part[u]
+                    found.append((u, v))
+        if found:
+            p, q = code[np.array(found).T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["x", "y"])
 
 
 def joined(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

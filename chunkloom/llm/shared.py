@@ -74,11 +74,11 @@ class Store:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy", rows: int = BATCH_ROWS) -> DataFrame:
         """Writes ``df`` and returns the table read back, whose plan starts at its files."""
         path = self.path(name)
         before = self.spark.conf.get(BATCH, None)
-        self.spark.conf.set(BATCH, str(BATCH_ROWS))
+        self.spark.conf.set(BATCH, str(rows))
         try:
             df.write.option("compression", codec).parquet(path)
         finally:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_words import words
 from pyspark.sql import functions as F
@@ -135,6 +136,53 @@ def test_ngram_join_with_rare_paths(spark, store, monkeypatch):
     assert sorted(map(tuple, ngram_join.joined(df, store).collect())) == near(rows)
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_ngram_join_cells_give_fewer_pairs_than_documents(split):
+    """Of a group whose documents nearly all link; and with whole sets, of one where about half of the pairs do."""
+    rng = np.random.default_rng(4)
+    for swaps, whole in ((4, False), (10, True)):
+        base = np.unique(rng.integers(0, 2**64 - 1, 150, dtype=np.uint64))
+        sets = [np.unique(np.append(rng.permutation(base)[rng.integers(0, 2 * swaps) :], rng.integers(0, 2**64 - 1, swaps, dtype=np.uint64))) for _ in range(90)]
+        second = [split and i >= 40 for i in range(90)]
+        data = pa.array([s.tobytes() for s in sets], pa.binary()) if whole else pa.array([ngram_join.parities(s, 256).view(np.int64).tolist() for s in sets])
+        cols = {"key": [5] * 90, "i": [0] * 90, "j": [int(split)] * 90, "second": second, "code": range(90), "n": map(len, sets), "c": range(90), "guest": [False] * 90}
+        batch = pa.RecordBatch.from_arrays([*(pa.array(list(v)) for v in cols.values()), data], [*cols, "data"])
+        got = [tuple(p) for b in ngram_join._cells(iter([batch]), *[True] * whole) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        pairs = [(x, y) for y in range(90) for x in range(y) if not split or second[x] != second[y]]
+        links = [(x, y) for x, y in pairs if ngram_join._alike(sets[x], sets[y])]
+        assert len(links) > 20 * 90 if not whole else 90 < len(links) < 0.8 * len(pairs)
+        assert len(got) < 90 and (not whole or set(got) <= set(links))
+        joined, wanted = ({i: i for i in range(90)} for _ in range(2))
+        for parent, edges in ((joined, got), (wanted, links)):
+            for x, y in edges:
+                a, b = find(parent, x), find(parent, y)
+                parent[max(a, b)] = min(a, b)
+        # candidates join what links join, at least
+        assert all(find(joined, x) == find(joined, y) for x, y in links)
+        assert not whole or [find(joined, i) for i in range(90)] == [find(wanted, i) for i in range(90)]
+
+
+def test_ngram_join_hot_group_without_stars(spark, store, monkeypatch):
+    """Many near copies of one text about the threshold, and pairs, in clusters of several blocks."""
+    rng, rows = random.Random(8), []
+    base = words(rng, 150)
+    for _ in range(120):
+        x = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 5)):
+            x[at] = "new" + str(rng.random())
+        rows.append(" ".join(x))
+    for _ in range(20):
+        x = words(rng, 60)
+        rows += [" ".join(x), " ".join([*x[:-1], "new"])]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "_within", lambda pairs, units: pairs.select("x", "y").where("false"))
+    for cell, size in ((16, 16 << 20), (1024, 20_000)):
+        monkeypatch.setattr(ngram_join, "CELL", cell)
+        monkeypatch.setattr(ngram_join, "CELL_BYTES", size)
+        assert sorted(map(tuple, ngram_join.joined(df, store).collect())) == near(rows)
+
+
 def test_ngram_join_odd_rows(spark, store, odd):
     got = ngram_join.joined(odd, store).collect()
     assert len(got) == odd.count()
